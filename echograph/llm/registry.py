@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from echograph.llm import packing, quality, sharding, token_output
+from echograph.llm import decontam, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
+    "op2_trigram_secrets": secret_scan.op2_trigram_secrets,
+    "op3_classifier_chain": toxicity.op3_classifier_chain,
+    "op4_rare_token_licences": licenses.op4_rare_token_licences,
+    "op5_fingerprint_runs": substring_dedup.op5_fingerprint_runs,
+    "op6_bit_sliced_simhash": simhash.op6_bit_sliced_simhash,
     "op7_retrieval_packing": packing.op7_retrieval_packing,
     "op8_line_frequency": quality.op8_line_frequency,
+    "op9_positional_index": decontam.op9_positional_index,
     "op10_range_coded_tokens": token_output.op10_range_coded_tokens,
 }
 
+#: None of the ten is given in SQL: each has parts (a packing, a trained chain, a format, spans with
+#: leftmost matches, components) that SQL lacks or is too slow for on whole tables. tests/llm holds
+#: them against brute force.
 SQL: dict[str, str] = {}
