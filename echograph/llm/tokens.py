@@ -42,7 +42,7 @@ class UnitEncoder:
     a full cache keeps what it has until its misses show that the texts have changed.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
