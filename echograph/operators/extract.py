@@ -33,7 +33,11 @@ def raw_mentions(posts: DataFrame, visible_urls: bool = False) -> DataFrame:
     if visible_urls:
         found.append(("url", F.flatten(F.transform(F.filter(e, lambda x: x["type"] == "MessageEntityUrl"), lambda x: T.links(T.utf16_slice(F.col("text"), x["offset"], x["length"]))))))
     none = F.array().cast("array<string>")
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(a, none), lambda h, m=m: F.struct(h.alias("handle"), F.lit(m).alias("method"))) for m, a in found]))
+
+    def tagged(handles: Column, method: str) -> Column:
+        return F.transform(F.coalesce(handles, none), lambda h: F.struct(h.alias("handle"), F.lit(method).alias("method")))
+
+    entries = F.flatten(F.array(*[tagged(handles, method) for method, handles in found]))
     return posts.select("channel", "msg_id", F.inline(F.array_distinct(entries)))
 
 

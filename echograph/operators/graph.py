@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echograph.operators import small_graph
 from echograph.operators.components import connected_components
 from echograph.session import materialise
 
@@ -24,6 +25,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst")))
 
 
+#: Graphs up to this size are solved in memory by the searches that need many rounds.
+SMALL_EDGES = 200_000
+SMALL_VERTICES = 10_000
+
+
 @dataclass
 class Graph:
     vertices: DataFrame
@@ -87,7 +93,10 @@ class Graph:
     def scc(self) -> DataFrame:
         """(id, scc): the least vertex of the strongly connected component. Vertices without in- or
         out-edges among what is left are trimmed; then the least reachable ancestors colour the rest, and
-        each colour's root takes those of its colour that reach it."""
+        each colour's root takes those of its colour that reach it. Graphs of a checked small size are
+        solved in memory instead."""
+        if (small := self._small()) is not None:
+            return self._frame(small_graph.strong_components(*small), "scc")
         left = materialise(self.edges, "scc")
         todo = materialise(self.vertices.select("id"), "scc")
         done = None
@@ -119,6 +128,21 @@ class Graph:
             todo = materialise(todo.join(found, "id", "left_anti"), "scc")
             left = materialise(left.join(todo.withColumnRenamed("id", "src"), "src", "left_semi").join(todo.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
 
+    def _small(self) -> tuple[list, list, list] | None:
+        """(vertices, sources, targets) if a count shows that the graph is small."""
+        e = materialise(self.edges, "edges")
+        if e.count() > SMALL_EDGES:
+            return None
+        v = self.vertices.select("id")
+        if v.count() > SMALL_VERTICES:
+            return None
+        rows = e.select("src", "dst").toArrow()
+        return sorted(v.toArrow().column(0).to_pylist()), rows.column(0).to_pylist(), rows.column(1).to_pylist()
+
+    def _frame(self, rows: list[tuple], name: str) -> DataFrame:
+        kind = dict(self.vertices.dtypes)["id"]
+        return self.vertices.sparkSession.createDataFrame(rows, f"id {kind}, {name} {kind}")
+
     def core(self) -> DataFrame:
         """(id, in_core): membership of the largest strong component, the least label among equals; a
         single vertex is no core."""
@@ -141,11 +165,19 @@ class Graph:
         return seen.filter("d > 0")
 
     def path_summary(self, directed: bool = True) -> DataFrame:
+        if (small := self._small()) is not None:
+            n, total, longest = small_graph.path_totals(*small, directed)
+            mean = round(total / n, 6) if n else None
+            return self.vertices.sparkSession.createDataFrame([(mean, longest, n)], "avg_path_length double, diameter long, n_pairs long")
         return self.distances(directed).agg(F.round(F.avg("d"), 6).alias("avg_path_length"), F.max("d").cast("long").alias("diameter"), F.count("*").alias("n_pairs"))
 
     def reachability(self) -> DataFrame:
         """(src_role, dst_role, n_pairs, n_reachable), pairs of different vertices."""
         roles = self.roles().select("id", "role")
+        if (small := self._small()) is not None:
+            role = {r.id: r.role for r in roles.collect()}  # as many as the vertices just counted
+            rows = small_graph.reach_by_group(*small, role)
+            return self.vertices.sparkSession.createDataFrame(rows, "src_role string, dst_role string, n_pairs long, n_reachable long")
         pairs = self.distances(True).select("src", "dst")
         counts = roles.groupBy("role").agg(F.count("*").alias("n"))
         got = pairs.join(roles.toDF("src", "src_role"), "src").join(roles.toDF("dst", "dst_role"), "dst").groupBy("src_role", "dst_role").agg(F.count("*").alias("n_reachable"))
