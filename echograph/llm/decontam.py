@@ -28,7 +28,7 @@ WINDOW = 10
 SLOP = 5
 NEAR_SHARE = 0.8
 PART_WORDS = 2_000_000
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 SEED = 9
 
 
@@ -104,7 +104,10 @@ def match_block(texts: list[str], part: Part) -> tuple[Words, np.ndarray, np.nda
             w, place = _expand(row, terms[row, rarest[:, k]], rarest[:, k], (positions, begin))
             keys.append(np.sort(w * (n_words + 2 * WINDOW) + place + WINDOW))
         both = np.intersect1d(*keys, assume_unique=True)
-        for key, out in ((both, exact), (np.setdiff1d(keys[0], both, assume_unique=True), near)):
+        sure = np.zeros(0, np.int64)
+        for key, out in ((both, exact), (keys[0], near)):
+            if out is near:  # places that are exact matches are no near ones
+                key = np.setdiff1d(key, sure, assume_unique=True)
             w, place = key // (n_words + 2 * WINDOW), key % (n_words + 2 * WINDOW) - WINDOW
             if out is near:  # another posting of the second term within SLOP
                 at = np.searchsorted(keys[1], key - SLOP)
@@ -126,6 +129,8 @@ def match_block(texts: list[str], part: Part) -> tuple[Words, np.ndarray, np.nda
                         held += ((ids[around] == terms[ww][:, k, None]) & (doc_of[around] == doc_of[pp][:, None])).any(axis=1)
                     good = held >= NEAR_SHARE * part.window
                 out.append((windows[ww[good]], pp[good]))
+                if out is exact:
+                    sure = np.union1d(sure, ww[good] * (n_words + 2 * WINDOW) + pp[good] + WINDOW)
     join = lambda pairs, k: np.concatenate([p[k] for p in pairs]) if pairs else none
     return words, np.stack([join(exact, 0), join(exact, 1)]), np.stack([join(near, 0), join(near, 1)]), none
 
@@ -201,5 +206,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return rows.mapInArrow(_pass_rows(parts[-1], True), _RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of ``docs``, all their columns, that hold no benchmark window. No shuffle."""
+    for part in list(_parts(benchmark, part_words, window)):
+
+        def run(batches: Iterator[pa.RecordBatch], part: Part = part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                for a, b in text_blocks(texts, BLOCK_CHARS):
+                    words, exact, _, _ = match_block(texts[a:b], part)
+                    clean = np.ones(b - a, bool)
+                    if exact.size:
+                        clean[np.searchsorted(words.first, exact[1], side="right") - 1] = False
+                    yield batch.slice(a, b - a).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -143,13 +143,13 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     poor = depleted(lines, common, min_left)
     gone = lines.join(common, ["host", "line"], "left_semi").groupBy("_id", "_text").agg(F.collect_set("line").alias("_gone"))
     verdict = poor.join(gone, ["_id", "_text"], "left").select("_id", "_text", "depleted", "_gone")
-    base = base_rules(docs).filter(~F.col("base_failed")).select(*row_key(F.col("text")), *columns)
+    packed = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text")
+    base = base_rules(packed).filter(~F.col("base_failed")).select(*row_key(F.col("text")), "_row", "text")
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x))))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     kept = base.join(verdict, ["_id", "_text"], "left").filter(~F.coalesce("depleted", F.lit(False))).withColumn("text", text)
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return kept.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in columns])
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from echograph.llm.tokens import text_blocks
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 
 #: (kind, regex, group to measure, least length of the group). Python's (?i) would also let two
 #: non-ASCII letters stand for k and s, hence (?a).

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograph.operators.components import connected_components
@@ -58,14 +58,19 @@ def _fingerprint_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row, fp as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long")
+    """(doc_id, text_hash, fp) per row, fp as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, text_hash long, fp long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def masks(blocks: int = BLOCKS, agree: int = AGREE) -> list[int]:
@@ -220,15 +225,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row: doc_id, fp and component_id, the least doc_id that links reach."""
+    """Per row: doc_id, text_hash, fp, root (the component's least fp) and component_id, the least doc_id
+    that links reach."""
     prints = materialise(fingerprints(docs, shingle), "simhash-fingerprints")
     least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     members = connected_components(links(least.select("fp"), radius))
     named = least.join(members.withColumnRenamed("node", "fp"), "fp")
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
-    other = named.join(heads, "component").select("fp", "head")
-    class_of = least.join(other, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
-    return prints.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    other = named.join(heads, "component").select("fp", "component", F.coalesce("head", "least").alias("head"))
+    class_of = least.join(other, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("head", "least").alias("component_id"))
+    return prints.join(class_of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all its columns: the least doc_id, then the least text hash; a row without
+    an id only where no row of the component has one."""
+    found = near_duplicates(docs, shingle, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("k")
+    heads = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("h_id"), F.col("k.text_hash").alias("h_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("text_hash"))
+    kept = rows.join(heads, rows["text_hash"].eqNullSafe(heads["h_text"]) & rows["id"].eqNullSafe(heads["h_id"]), "left_semi")
+    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
 
 
 def op6_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

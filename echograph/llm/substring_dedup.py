@@ -32,7 +32,7 @@ WINDOW = 35
 GRAM = 8
 HOT = 20_000
 BATCHES = 2
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 _SEED = 5
 
 

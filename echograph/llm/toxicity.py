@@ -30,7 +30,7 @@ STEPS = 400
 PENALTY = 0.003
 CHAIN = ("low_quality", "toxic", "severe")
 _SEED = 3
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 
 
 @dataclass
