@@ -460,6 +460,23 @@ def subsample_edges(edges: DataFrame, m: int, seed: int) -> DataFrame:
     return e.orderBy(F.xxhash64(F.lit(seed), "u", "v"), "u", "v").limit(m)
 
 
+def orientation_share(oriented: DataFrame) -> DataFrame:
+    """Per vertex of (u, v, src): its edges, the oriented ones, and their share."""
+    ends = oriented.select(F.col("u").alias("id"), "src").unionByName(oriented.select(F.col("v").alias("id"), "src"))
+    return ends.groupBy("id").agg(F.count("*").alias("n_edges"), F.count("src").alias("n_oriented"), F.round(F.count("src") / F.count("*"), 6).alias("share"))
+
+
+def stability(spark: SparkSession, edges: DataFrame, seeds: list[int]) -> list[dict]:
+    """Agreement of the first seed's communities with each other seed's."""
+    first = materialise(leiden(spark, edges, seeds[0]), "stability")
+    return [partition_agreement(first, leiden(spark, edges, s)) for s in seeds[1:]]
+
+
+def null_transitivity(edges: DataFrame, reps: int = 20, seed: int = 42) -> DataFrame:
+    """(rep, value): clustering of rewired graphs, loops and repeats taken out first."""
+    return null_statistic(edges, lambda e: Graph.from_edges(e).triangles().select("transitivity"), reps, seed)
+
+
 def partition_agreement(a: DataFrame, b: DataFrame) -> dict:
     """Adjusted Rand index and adjusted mutual information of two memberships (id, community). The
     contingency counts come to the driver: pairs of communities, not vertices."""

@@ -18,7 +18,7 @@ BARS = [1, 2, 3, 4, 5, 7, 10]
 def earliest_by_channel(posts: DataFrame) -> DataFrame:
     """(key, channel, ts, msg_id, is_fwd): a channel's first dated post of a text."""
     fwd = F.coalesce("is_fwd", F.lit(False)) if "is_fwd" in posts.columns else F.lit(False)
-    first = posts.filter("ts is not null").groupBy("key", "channel").agg(F.min(F.struct("ts", "msg_id", fwd.alias("is_fwd"))).alias("m"), F.count("*").alias("n"))
+    first = posts.filter("ts is not null and key is not null and channel is not null").groupBy("key", "channel").agg(F.min(F.struct("ts", "msg_id", fwd.alias("is_fwd"))).alias("m"), F.count("*").alias("n"))
     return first.select("key", "channel", "m.ts", "m.msg_id", "m.is_fwd", "n")
 
 

@@ -593,3 +593,91 @@ def tier_base_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query("top_composition", "SELECT s AS c_mktsegment, count(*) FILTER (WHERE r <= 100) AS n_top, count(*) AS n_all FROM (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) GROUP BY s")
 def top_composition(spark: SparkSession, sf: str) -> DataFrame:
     return layers.top_composition(_accounts(spark, sf), "x", "c_mktsegment")
+
+
+# Further layer and boundary tables.
+
+
+@query("rank_of_links", f"WITH {V.GRAPH} SELECT id, degree, rank() OVER (ORDER BY degree DESC) AS rank FROM roles")
+def rank_of_links(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(layers.rank_of(V.forward_graph(spark, sf).degrees().select("id", "degree"), "degree"), "rank")
+
+
+@query("split_by_bars", f"WITH {V.EDGES}, x AS (SELECT u % 7 AS community, bar, nu, nv FROM edges, (SELECT unnest([1, 2, 3]) AS bar) WHERE u % 7 = v % 7 AND nu + nv >= bar) SELECT community, bar, count(*) AS n_edges, count(*) FILTER (WHERE nu = 0 OR nv = 0) AS n_one_way FROM x GROUP BY ALL")
+def split_by_bars(spark: SparkSession, sf: str) -> DataFrame:
+    e = _as_semantic(V.copy_edges(spark, sf))
+    m = layers.partners(e).select("id").distinct().withColumn("community", F.col("id") % 7)
+    return layers.split_by_bars(e, m, [1, 2, 3])
+
+
+@query("orientation_share", f"WITH {V.EDGES}, o AS (SELECT u, v, {_SRC} FROM edges), e AS (SELECT u AS id, src FROM o UNION ALL SELECT v, src FROM o) SELECT id, count(*) AS n_edges, count(src) AS n_oriented, round(count(src) / count(*), 6) AS share FROM e GROUP BY id")
+def orientation_share(spark: SparkSession, sf: str) -> DataFrame:
+    e = layers.votes(_as_semantic(V.copy_edges(spark, sf)))
+    return graph.orientation_share(e.withColumn("src", layers.source_of(F.col("nu"), F.col("nv"), F.col("u"), F.col("v"), 2)))
+
+
+_VERDICT = "SELECT id, CASE WHEN max(o) = 1 AND max(i) = 1 THEN 'both' WHEN max(o) = 1 THEN 'out' ELSE 'in' END AS verdict FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {e} UNION ALL SELECT dst, 0, 1 FROM {e}) GROUP BY id"
+
+
+@query(
+    "cross_layer_channels",
+    f"""WITH {V.EDGES}, l AS (SELECT lag(channel) OVER (PARTITION BY key ORDER BY ts, msg_id) AS o, channel AS t FROM posts), d AS (SELECT o AS src, t AS dst FROM l WHERE o IS NOT NULL GROUP BY ALL HAVING count(*) >= {V.MIN_COUNT} AND o <> t),
+    c AS (SELECT CASE WHEN nv = 0 THEN u ELSE v END AS src, CASE WHEN nv = 0 THEN v ELSE u END AS dst FROM edges WHERE nu + nv >= 3 AND (nu = 0 OR nv = 0)), a AS (SELECT id, count(DISTINCT p) AS links FROM (SELECT u AS id, v AS p FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY id),
+    x AS ({_VERDICT.format(e="c")}), y AS ({_VERDICT.format(e="d")}) SELECT id, coalesce(links, 0) AS links, coalesce(x.verdict, 'none') AS directed, coalesce(y.verdict, 'none') AS declared FROM a FULL JOIN x USING (id) FULL JOIN y USING (id)""",
+)
+def cross_layer_channels(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.copy_edges(spark, sf)
+    return layers.cross_layer_channels(e, layers.directed_layer(e, 3, "_copy"), V.forward_graph(spark, sf).edges)
+
+
+@query("layer_partner_overlap", f"WITH {V.EDGES}, l AS (SELECT lag(channel) OVER (PARTITION BY key ORDER BY ts, msg_id) AS o, channel AS t FROM posts), d AS (SELECT o AS u, t AS v FROM l WHERE o IS NOT NULL AND o <> t GROUP BY ALL HAVING count(*) >= {V.MIN_COUNT}), pa AS (SELECT u AS id, v AS p FROM edges UNION SELECT v, u FROM edges), pb AS (SELECT u AS id, v AS p FROM d UNION SELECT v, u FROM d) SELECT id, count(x) AS n_a, count(y) AS n_b, count(x + y) AS n_both FROM (SELECT *, 1 AS x FROM pa) FULL JOIN (SELECT *, 1 AS y FROM pb) USING (id, p) GROUP BY id")
+def layer_partner_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.layer_partner_overlap(V.copy_edges(spark, sf), V.forward_graph(spark, sf).edges.toDF("u", "v"))
+
+
+@query("tier_direction", f"WITH {V.GRAPH}, t AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS r, count(*) OVER () AS n FROM roles) WHERE r <= greatest(1, floor(n * 0.1))) SELECT src IN (SELECT id FROM t) AS src_top, dst IN (SELECT id FROM t) AS dst_top, count(*) AS n FROM ge GROUP BY 1, 2")
+def tier_direction(spark: SparkSession, sf: str) -> DataFrame:
+    g = V.forward_graph(spark, sf)
+    return layers.tier_direction(g.edges, graph.tier(g.degrees(), 0.1))
+
+
+@query("selection_effect", f"WITH {V.GRAPH}, n AS (SELECT channel AS id, count(*) AS n FROM posts GROUP BY 1) SELECT id IN (SELECT id FROM gv) AS inside, count(*) AS n, median(n)::DOUBLE AS median_n FROM (SELECT id, n FROM n) GROUP BY 1")
+def selection_effect(spark: SparkSession, sf: str) -> DataFrame:
+    n = V.posts(spark, sf).groupBy(F.col("channel").alias("id")).agg(F.count("*").alias("n"))
+    return layers.selection_effect(n, V.forward_graph(spark, sf).vertices, ["n"])
+
+
+@query("roles_by_depth", f"WITH RECURSIVE {V.GRAPH}, b(id, d) AS (SELECT min(id), 0 FROM gv UNION SELECT ge.dst, d + 1 FROM b JOIN ge ON ge.src = b.id WHERE d < 2), m AS (SELECT id, min(d) AS depth FROM b GROUP BY id) SELECT depth::INT AS depth, role, count(*) AS n FROM roles JOIN m USING (id) GROUP BY ALL")
+def roles_by_depth(spark: SparkSession, sf: str) -> DataFrame:
+    g = V.forward_graph(spark, sf)
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    depth = extract.bfs_members(text(g.vertices.agg(F.min("id").alias("handle"))), text(g.edges.toDF("source", "target")), text(g.vertices.toDF("handle")))
+    return layers.roles_by_depth(g.roles().withColumn("id", F.col("id").cast("string")), depth.select(F.col("handle").alias("id"), "depth"))
+
+
+@query("inside_outside", f"WITH {V.GRAPH}, s AS (SELECT id FROM gv WHERE id % 7 = 1), n AS (SELECT DISTINCT dst FROM both_ways WHERE src IN (SELECT id FROM s)) SELECT CASE WHEN dst IN (SELECT id FROM s) THEN 'inside' ELSE 'outside' END AS \"where\", count(*) AS n FROM n GROUP BY 1")
+def inside_outside(spark: SparkSession, sf: str) -> DataFrame:
+    g = V.forward_graph(spark, sf)
+    return graph.inside_outside(g.edges, g.vertices.filter("id % 7 = 1"))
+
+
+@query("minority_integration", f"WITH {V.MEMBERS}, e AS (SELECT src, dst FROM both_ways JOIN cls a ON a.id = src JOIN cls b ON b.id = dst WHERE a.cls = 'click' AND b.cls = 'view'), p AS (SELECT src, count(*) AS n FROM e GROUP BY src), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, src) AS r FROM p), h AS (SELECT arg_min(community, (-c, community)) AS home FROM (SELECT community, count(*) AS c FROM mem JOIN cls USING (id) WHERE cls = 'click' GROUP BY 1)) SELECT sum(n)::BIGINT AS n_edges, count(*) AS n_members, median(n)::DOUBLE AS median_contacts, round(sum(n) FILTER (WHERE r <= 5) / sum(n), 6) AS top5_share, (SELECT count(DISTINCT dst) FROM e) AS n_contacts, (SELECT home FROM h) AS home FROM r")
+def minority_integration(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.integration(V.forward_graph(spark, sf).edges, _membership(spark, sf), V.classes(spark, sf), "click", "view")
+
+
+@query(
+    "term_overlap",
+    """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nl}\\p{No}]{3,}')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT lang, term FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM c) WHERE r <= 120),
+    a AS (SELECT term FROM t WHERE lang = 'en'), b AS (SELECT term FROM t WHERE lang = 'fr') SELECT (SELECT count(*) FROM a WHERE term IN (FROM b)) AS shared, (SELECT count(*) FROM a WHERE term NOT IN (FROM b)) AS only_a, (SELECT count(*) FROM b WHERE term NOT IN (FROM a)) AS only_b, round((SELECT count(*) FROM a WHERE term IN (FROM b)) / (SELECT count(*) FROM (FROM a UNION FROM b)), 6) AS jaccard""",
+)
+def term_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    terms, _ = extract.channel_terms(V.docs(spark, sf).withColumn("channel", F.col("cls")))
+    o = layers.term_overlap(terms.select(F.col("channel").alias("community"), "term"), "en", "fr")
+    return o.select(F.size("shared").cast("long").alias("shared"), F.size("only_a").cast("long").alias("only_a"), F.size("only_b").cast("long").alias("only_b"), "jaccard")
+
+
+@query("expected_mann_whitney", "WITH s AS (SELECT c_custkey, c_acctbal AS v, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 END AS g FROM customer), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM s WHERE g IS NOT NULL) SELECT round(sum(r) FILTER (WHERE g = 1) - count(*) FILTER (WHERE g = 1) * (count(*) FILTER (WHERE g = 1) + 1) / 2, 1)::DOUBLE AS u, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 2) AS n2 FROM r")
+def expected_mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
+    got = stats.mann_whitney(_accounts(spark, sf), "c_mktsegment", "x", "BUILDING", "MACHINERY")
+    return spark.createDataFrame([(None if got["u"] is None else round(float(got["u"]), 1), got["n1"], got["n2"])], "u double, n1 long, n2 long")
