@@ -181,7 +181,7 @@ def channel_terms(posts: DataFrame, stop: DataFrame | None = None, top: int = 12
     """(terms, totals): the top terms of each channel and its number of tokens, stop words counted in it."""
     words = posts.select("channel", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("channel", "term").agg(F.count("*").alias("n"))
     totals = words.groupBy("channel").agg(F.sum("n").alias("n_tokens"))
-    kept = words if stop is None else words.join(F.broadcast(stop.select("term").limit(100_000)), "term", "left_anti")
+    kept = words if stop is None else words.join(stop.select("term"), "term", "left_anti")
     order = Window.partitionBy("channel").orderBy(F.desc("n"), "term")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top), totals
 

@@ -38,11 +38,11 @@ def directed_copy_edges(posts: DataFrame) -> DataFrame:
     return star_pairs(posts).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("n_texts"), F.count_if("is_fwd").alias("n_dst_fwd"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, block: int = 1024, f16_compat: bool = False) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, block: int = 8192, f16_compat: bool = False) -> DataFrame:
     """(i, j, sim) with i < j and sim >= threshold, for unit vectors (id, vec). Vectors are dealt into blocks;
-    a task multiplies two blocks at a time and keeps only survivors, so memory is two blocks. f16_compat
-    rounds kept similarities to half precision."""
-    rows = vectors.filter("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    a task multiplies two blocks at a time and keeps only survivors, so memory is two blocks and each vector
+    travels once per block. Products are in double precision; f16_compat rounds kept similarities to half."""
+    rows = vectors.filter("vec is not null").select(F.col("id").cast("long").alias("id"), "vec")
     blocks = max(1, -(-rows.count() // block))
     b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "vec")
@@ -50,7 +50,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, block: int = 1024,
     def multiply(table: pa.Table) -> pa.Table:
         ids, own = table.column("id").to_numpy(), table.column("b").to_numpy()
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        m = np.array(table.column("vec").to_pylist())
+        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        m = flat.astype(np.float64).reshape(table.num_rows, -1)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         out_i, out_j, out_s = [], [], []
         for at in range(0, len(left), 256):
