@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm.tokens import encoder, text_blocks, vocabulary_path
+from echograph.llm.tokens import CACHED_UNITS, encoder, text_blocks, vocabulary_path
 
 WINDOW = 2048
 END_ID = 1
@@ -97,14 +97,14 @@ def fill(docs: list[np.ndarray], used: int, window: int = WINDOW) -> Iterator[tu
                 closed, used, seed, ranked = closed + 1, 0, doc, ([] if start < n else None)
 
 
-def _pack_rows(path: str, window: int, end_id: int, shard_docs: int):
+def _pack_rows(path: str, window: int, end_id: int, shard_docs: int, cached_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, used, end = TaskContext.get().partitionId() << 40, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("doc_id").to_pylist()
             for a, b in text_blocks(texts, SHARD_CHARS):
-                tokens = [t + end for t in encoder(path).encode(texts[a:b])]
+                tokens = [t + end for t in encoder(path, cached_units).encode(texts[a:b])]
                 for c in range(0, b - a, shard_docs):
                     shard = tokens[c : c + shard_docs]
                     docs = [np.frombuffer(t, "<u4") for t in shard]
@@ -120,10 +120,11 @@ def _pack_rows(path: str, window: int, end_id: int, shard_docs: int):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Pieces of all ``docs`` (doc_id, text); see the contract of op7 for the columns."""
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_docs: int = SHARD_DOCS, cached_units: int = CACHED_UNITS) -> DataFrame:
+    """Pieces of all ``docs`` (doc_id, text); see the contract of op7 for the columns.
+    ``cached_units`` trades a worker's memory for speed; results don't depend on it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack_rows(vocabulary or vocabulary_path(), window, end_id, shard_docs), _PIECES)
+    return rows.mapInArrow(_pack_rows(vocabulary or vocabulary_path(), window, end_id, shard_docs, cached_units), _PIECES)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ from array import array
 
 import numpy as np
 
-#: Whitespace other than single inner spaces and newlines: such texts are encoded whole.
-_ODD = re.compile(r"[^\S \n]|\s\s|\s\Z|\A\s|\x00")
+#: Whitespace other than spaces and newlines.
+_ODD = re.compile(r"[^\S \n]").search
 _NEWLINE = "\n"
+#: Units that a worker keeps, about 230 bytes each.
+CACHED_UNITS = 1_200_000
 #: A word that is one run of letters for the pre-tokenizer, in any Unicode version.
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
@@ -42,7 +44,7 @@ class UnitEncoder:
     a full cache keeps what it has until its misses show that the texts have changed.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = CACHED_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,7 +57,7 @@ class UnitEncoder:
         by_units = plain and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         newline = self._ids(_NEWLINE)
         self.newline = int(newline[0]) if by_units and len(newline) == 1 else None
-        self.fixed = {"": b"", _NEWLINE: newline.tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()}
+        self.fixed = {_NEWLINE: newline.tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()}
         self.cache: dict[str, bytes] = dict(self.fixed)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -81,9 +83,15 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cache, split = self.cache, []
         for text in texts:
-            whole = self.newline is None or _ODD.search(text)
-            split.append(None if whole else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00"))
+            whole = self.newline is None or "\x00" in text
+            units = None if whole else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+            # White space at an end or next to other leaves a bare space or nothing: encoded whole.
+            split.append(None if whole or "" in units or " " in units else units)
         need = set().union(*filter(None, split)).difference(cache)
+        if _ODD(_NEWLINE.join(need)):  # never cached, so found again wherever it occurs
+            odd = {u for u in need if _ODD(u)}
+            need -= odd
+            split = [None if u is None or not odd.isdisjoint(u) else u for u in split]
         # A full stop or comma after a letter is a run of its own: only the bare word is learned.
         tails = [u for u in need if u[-1] in ".," and u[-2:-1].isalpha()]
         need.difference_update(tails)
@@ -107,10 +115,10 @@ class UnitEncoder:
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, cached_units: int = CACHED_UNITS) -> UnitEncoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
+        _encoders[path] = UnitEncoder(path, cached_units)
     return _encoders[path]
 
 
