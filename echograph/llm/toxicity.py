@@ -25,7 +25,7 @@ from echograph.llm.tokens import text_blocks
 
 SAMPLE = 8000
 WORDS_PER_CATEGORY = 512
-FOLDS = 5
+FOLDS = 3
 STEPS = 400
 PENALTY = 0.003
 CHAIN = ("low_quality", "toxic", "severe")
@@ -83,8 +83,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps:
         g = (_sigmoid(x @ vw + vb / big) - y).astype(np.float32)
         nw, nb = vw - step * (x.T @ g + penalty * vw), vb - step * float(g.sum()) / big
         m = (t - 1) / (t + 2)
+        moved = float(np.abs(nw - w).max(initial=0.0))
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
+        if t > 50 and moved < 2e-3 * float(np.abs(w).max(initial=0.0)):
+            break
     return (w / norm).astype(np.float64), b / big
 
 
