@@ -234,6 +234,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
     other = named.join(heads, "component").select("fp", "component", F.coalesce("head", "least").alias("head"))
     class_of = least.join(other, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("head", "least").alias("component_id"))
+    # Both sides of the last join are stored tables, so a fingerprint with a third of the rows can be split.
+    class_of = materialise(class_of, "simhash-classes")
     return prints.join(class_of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
