@@ -254,6 +254,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, hot: int = HOT, with_text: bo
     cold = nominated.filter("not hot").select("key", "rk", "start", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verified, "rk long, start long, n long")
     single = nominated.filter("hot").select("key", "hashes", "rk", "start")
     again = single.groupBy("key", "hashes").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hashes")
+    again = materialise(again, "repeated-windows")  # stored, so that the join can split a hot key
     verified = single.join(again, ["key", "hashes"], "left_semi").select("rk", "start", F.lit(1).cast("long").alias("n"))
     marks = cold.unionByName(verified).distinct().groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     out = rows.join(marks, "rk", "left").select("doc_id", "text", "marks")
