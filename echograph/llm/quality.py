@@ -1,9 +1,8 @@
 """Quality rules with cross-document line frequency, native Spark only.
 
 Base rules judge a text by itself. The corpus rule hashes normalised lines, counts the distinct
-documents of each host (``source``) that hold a line, and takes a line away if more than
-``max(min_docs, share of the host's documents)`` have it; a document with too few words left is
-depleted and rejected. Copies of one text are one document here, so copies alone reject nothing.
+documents of each host (``source``) that hold a line, and takes a line away if more than ``min_docs``
+have it, however large the host is; a document with too few words left is depleted and rejected. Copies of one text are one document here, so copies alone reject nothing.
 
 Nulls: a null text has no words and fails; a null host is a host of its own. Repeated rows get equal
 results. Empty tables give no rows. Only doc_id, text and source are read.
@@ -18,9 +17,8 @@ from pyspark.sql import functions as F
 
 from echograph.session import materialise
 
-#: A line is common if more documents of its host than this, and this share of them, have it.
-MIN_DOCS = 50
-MAX_SHARE = 0.2
+#: A line is common if more documents of its host than this have it.
+MIN_DOCS = 10
 #: A document is depleted if under this share of its words is left.
 MIN_LEFT = 0.2
 
@@ -105,13 +103,11 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) of lines above their host's limit. Each document counts once; both counts
-    combine on the map side, so a line or host with a third of all rows doesn't meet in one task."""
+def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, line, n_docs) of lines above the limit. Each document counts once; the counts combine on
+    the map side, so a line or host with a third of all rows doesn't meet in one task."""
     seen = lines.select("host", "line", "_text").distinct()
-    hosts = lines.select("host", "_text").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    return counts.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "line", "n_docs")
+    return seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
 
 
 def depleted(lines: DataFrame, common: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
@@ -122,11 +118,11 @@ def depleted(lines: DataFrame, common: DataFrame, min_left: float = MIN_LEFT) ->
     return per_doc.filter("gone > 0").select("_id", "_text", ((F.col("all") - F.col("gone")) / F.col("all")).alias("left_share")).withColumn("depleted", F.col("left_share") < min_left)
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row: doc_id, base measures, base_failed, left_share and kept."""
     docs = docs.select("doc_id", "text", "source")
     lines = materialise(document_lines(docs), "quality-lines")
-    poor = depleted(lines, common_lines(lines, min_docs, max_share), min_left)
+    poor = depleted(lines, common_lines(lines, min_docs), min_left)
     base = base_rules(docs.select("doc_id", "text")).select(*row_key(F.col("text")), "*").drop("text")
     return base.join(poor, ["_id", "_text"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -135,11 +131,11 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     )
 
 
-def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that pass, all their columns, without their common lines."""
     columns = docs.columns
     lines = materialise(document_lines(docs.select("doc_id", "text", "source")), "quality-lines")
-    common = materialise(common_lines(lines, min_docs, max_share), "quality-common")
+    common = materialise(common_lines(lines, min_docs), "quality-common")
     poor = depleted(lines, common, min_left)
     gone = lines.join(common, ["host", "line"], "left_semi").groupBy("_id", "_text").agg(F.collect_set("line").alias("_gone"))
     verdict = poor.join(gone, ["_id", "_text"], "left").select("_id", "_text", "depleted", "_gone")

@@ -154,6 +154,20 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     assert kept[3] == body(3) and kept[101] == menu and 100 not in kept
 
 
+def test_line_frequency_query_takes_lines_of_a_small_share(spark, tmp_path):
+    body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    menu = " ".join(f"menu{k}" for k in range(60))
+    # 30 of 300 texts of one host hold the menu, all 12 of a small host, and 10 of a third.
+    rows = [(i, f"{body(i, 60)}\n{menu}" if i < 30 else body(i, 60), "large") for i in range(300)]
+    rows += [(1000 + i, f"{body(1000 + i, 10)}\n{menu}", "small") for i in range(12)]
+    rows += [(2000 + i, f"{body(2000 + i, 10)}\n{menu}", "few") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.left_share, r.kept) for r in quality.op8_line_frequency(spark, str(tmp_path)).collect()}
+    assert all(got[i] == ((0.5, True) if i < 30 else (1.0, True)) for i in range(300))
+    assert all(got[1000 + i] == (10 / 70, False) for i in range(12)) and all(got[2000 + i] == (1.0, True) for i in range(10))
+
+
 def test_licence_templates(spark):
     text = "Copyright. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     rows = [(1, text), (2, "software files of any person, free"), (3, None), (4, "Redistribution and use in source and binary forms, with or without modification, are permitted")]
