@@ -1,10 +1,14 @@
 """Packing by lexical retrieval.
 
-Documents lie in shards of a bounded number of documents, in the order in which a task reads them.
-Each shard has an inverted index of its token ids with BM25 weights. A seed document opens a window;
-its unused neighbours, best first, fill the window, and the last is cut where the window ends and
-goes on in the next one. An open window carries over to the next shard, so only the last window of a
-task has padding. No rows shuffle and memory holds one shard.
+Document frequencies and the mean length are counted over all documents first. Documents are then
+brought into an order by content: the key is a weighted MinHash of the token ids, so two documents
+share it with the probability of their IDF-weighted similarity, wherever they lie in the table.
+Shards of a bounded number of documents are cut from this order. Each shard has an inverted index of
+its token ids with the corpus's BM25 weights. A seed document opens a window; its unused neighbours,
+best first, fill the window, and the last is cut where the window ends and goes on in the next one.
+An open window carries over to the next shard, so only the last window of a task has padding. The
+order is dealt by range with ties broken by id, so copies of one text don't meet in one task; memory
+holds one shard.
 
 A null text is a document of its end id alone; repeated rows are documents of their own; an empty
 table gives no rows. A document longer than the window runs on through as many as it needs.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +26,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echograph.llm import tokens as token_cache
 from echograph.llm.tokens import CACHED_UNITS, encoder, text_blocks, vocabulary_path
+from echograph.session import materialise
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 512
 SHARD_CHARS = 4_000_000
 K1, B = 1.2, 0.75
+#: MinHashes in the order's key: each one parts documents that share those before it.
+ROUTES = 3
+SEED = 7
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+
+class Corpus(NamedTuple):
+    """Over all documents: inverse document frequency of each token id, and the mean length."""
+
+    idf: np.ndarray
+    mean: float
+
+    def draws(self) -> np.ndarray:
+        """(ROUTES, ids): the least draw of a document's ids is its weighted MinHash."""
+        luck = np.random.default_rng(SEED).exponential(size=(len(self.idf), ROUTES)).T
+        return np.divide(luck, self.idf, out=np.full(luck.shape, np.inf), where=self.idf > 0)
+
+
 class ShardIndex:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, weighted as in the corpus if that is given."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         self.n = n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
@@ -44,8 +70,8 @@ class ShardIndex:
         term, doc = keys // n, keys % n
         first = np.flatnonzero(np.diff(term, prepend=-1))
         df = np.diff(np.append(first, len(term)))
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
+        idf = corpus.idf[term[first]] if corpus else _idf(n, df)
+        norm = K1 * (1 - B + B * lengths / max(1.0, corpus.mean if corpus else lengths.mean() if n else 1.0))
         row = np.repeat(np.arange(len(first)), df)
         weight = idf[row] * tf * (K1 + 1) / (tf + norm[doc])
         live = weight > 0  # a term in half of the documents or more weighs nothing
@@ -63,10 +89,10 @@ class ShardIndex:
         return np.bincount(self.postings[at], self.weights[at], self.n)
 
 
-def fill(docs: list[np.ndarray], used: int, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(docs: list[np.ndarray], used: int, window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(doc, start, length, windows closed before, offset) of each piece; ``used`` tokens of the first
     window are taken already."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus)
     free = np.ones(len(docs), bool)
     closed, ranked, at, next_seed = 0, None, 0, 0
     while True:
@@ -97,21 +123,91 @@ def fill(docs: list[np.ndarray], used: int, window: int = WINDOW) -> Iterator[tu
                 closed, used, seed, ranked = closed + 1, 0, doc, ([] if start < n else None)
 
 
-def _pack_rows(path: str, window: int, end_id: int, shard_docs: int, cached_units: int):
+def store(ids: bytes) -> bytes:
+    """Ids (uint32) behind a byte that tells how wide each is: two bytes where all of a document fit."""
+    values = np.frombuffer(ids, "<u4")
+    return b"\x02" + values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else b"\x04" + ids
+
+
+def load(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, f"<u{stored[0]}", offset=1).astype("<u4")
+
+
+def _token_rows(path: str, end_id: int, cached_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence, used, end = TaskContext.get().partitionId() << 40, 0, np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = batch.column("doc_id").to_pylist()
             for a, b in text_blocks(texts, SHARD_CHARS):
-                tokens = [t + end for t in encoder(path, cached_units).encode(texts[a:b])]
-                for c in range(0, b - a, shard_docs):
-                    shard = tokens[c : c + shard_docs]
-                    docs = [np.frombuffer(t, "<u4") for t in shard]
+                tokens = [store(t + end) for t in encoder(path, cached_units).encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of a task: documents that hold each token id; -1 for all documents, -2 for their length."""
+    token_cache._encoders.clear()  # a worker that has encoded keeps its units, which nobody needs now
+    df, n, total = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        for ids in map(load, batch.column("tokens").to_pylist()):
+            held = np.unique(ids)
+            if held[-1] >= len(df):
+                df = np.append(df, np.zeros(int(held[-1]) + 1 - len(df), np.int64))
+            df[held] += 1
+            n, total = n + 1, total + len(ids)
+    seen = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n, total]))], ["term", "n"])
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Collects a row for each id of the vocabulary at most."""
+    n = {r.term: r.n for r in tokens.select("tokens").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    docs, total = n.pop(-1, 0), n.pop(-2, 0)
+    df = np.zeros(max(n, default=-1) + 1, np.int64)
+    df[list(n)] = list(n.values())
+    return Corpus(_idf(docs, df), total / max(1, docs))
+
+
+def _routed(draws: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens").to_pylist()
+            for a, b in text_blocks(tokens, SHARD_CHARS):
+                parts = [load(t) for t in tokens[a:b]]
+                ids, size = np.concatenate(parts), np.array([len(x) for x in parts])
+                keys = [pa.array(np.minimum.reduceat(d[ids], np.cumsum(size) - size)) for d in draws]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *keys], [*batch.schema.names, *_ROUTES])
+
+    return run
+
+
+_ROUTES = [f"route{k}" for k in range(ROUTES)]
+
+
+def by_content(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """(doc_id, tokens) with like documents side by side."""
+    routed = tokens.mapInArrow(_routed(corpus.draws()), ", ".join(["doc_id long", "tokens binary", *(f"{c} double" for c in _ROUTES)]))
+    routed = routed.withColumn("text", F.xxhash64("tokens"))
+    keys = [*_ROUTES, "text", "doc_id"]
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return routed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "tokens")
+
+
+def _pack_rows(window: int, shard_docs: int, corpus: Corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_cache._encoders.clear()
+        sequence, used = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            tokens = batch.column("tokens").to_pylist()
+            keys = batch.column("doc_id").to_pylist()
+            for a, b in text_blocks(tokens, SHARD_CHARS):
+                for c in range(a, b, shard_docs):
+                    docs = [load(t) for t in tokens[c : min(c + shard_docs, b)]]
                     rows = []
-                    for doc, start, length, closed, offset in fill(docs, used, window):
-                        crc = zlib.crc32(memoryview(shard[doc])[4 * start : 4 * (start + length)])
-                        rows.append((keys[a + c + doc], start, length, crc, len(docs[doc]), sequence + closed, offset))
+                    for doc, start, length, closed, offset in fill(docs, used, window, corpus):
+                        crc = zlib.crc32(docs[doc][start : start + length])
+                        rows.append((keys[c + doc], start, length, crc, len(docs[doc]), sequence + closed, offset))
                     last = rows[-1]
                     full = last[6] + last[2] == window
                     sequence, used = last[5] + full, 0 if full else last[6] + last[2]
@@ -124,7 +220,10 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     """Pieces of all ``docs`` (doc_id, text); see the contract of op7 for the columns.
     ``cached_units`` trades a worker's memory for speed; results don't depend on it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack_rows(vocabulary or vocabulary_path(), window, end_id, shard_docs, cached_units), _PIECES)
+    encoded = rows.mapInArrow(_token_rows(vocabulary or vocabulary_path(), end_id, cached_units), "doc_id long, tokens binary")
+    tokens = materialise(encoded, "packing-tokens")
+    corpus = corpus_of(tokens)
+    return by_content(tokens, corpus).mapInArrow(_pack_rows(window, shard_docs, corpus), _PIECES)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

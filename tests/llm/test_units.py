@@ -194,6 +194,26 @@ def test_packing_prefers_neighbours():
     assert sum(len(w) == 1 for w in windows.values()) >= 7
 
 
+def test_packing_finds_neighbours_of_other_partitions(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    bases = [[word() for _ in range(250)] for _ in range(300)]
+    edited = [[word() if k % 50 == 7 else w for k, w in enumerate(b)] for b in bases]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases + edited)]  # a document and its neighbour lie 300 rows apart
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    windows = {}
+    for r in packing.pack(df, shard_docs=64).collect():
+        windows.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(bool(windows[i] & windows[i + 300]) for i in range(300)) > 0.7 * 300
+
+
+def test_packing_counts_terms_over_all_documents(spark):
+    docs = [packing.store(np.array(x, "<u4").tobytes()) for x in ([5, 5, 1], [5, 7, 1], [9, 1], [1])]
+    corpus = packing.corpus_of(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, tokens binary").repartition(3))
+    assert packing.load(packing.store(np.array([70_000, 1], "<u4").tobytes())).tolist() == [70_000, 1]
+    assert corpus.mean == 9 / 4 and np.allclose(corpus.idf[[1, 5, 7, 9]], [0, 0, np.log(3.5 / 1.5), np.log(3.5 / 1.5)])
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(0)
     x = (rng.random((600, 12)) < 0.3).astype(np.float32)
