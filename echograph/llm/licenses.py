@@ -43,8 +43,6 @@ TEMPLATES = [
 #: Licence words looked up for each file, and the share of a template's that must agree.
 RARE_WORDS = 8
 AGREEMENT = 0.6
-#: Words that are in this share of all documents or more are no rare tokens.
-COMMON_SHARE = 0.1
 
 
 def normal_text(text: Column) -> Column:
@@ -87,7 +85,7 @@ def word_idf(docs: DataFrame) -> dict[str, float]:
     held = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.filter(words, lambda w: w.isin(vocabulary))))).alias("w"))
     df = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words at most
     total = df.pop("", 0)
-    return {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary if df.get(w, 0) < COMMON_SHARE * total or total < 20}
+    return {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}  # common words rank last, none is dropped
 
 
 def scan(docs: DataFrame) -> DataFrame:

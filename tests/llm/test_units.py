@@ -175,6 +175,12 @@ def test_licence_templates(spark):
     assert got == {1: ("mit", 0), 2: ("", 0), 3: ("", 0), 4: ("bsd", 0)}
 
 
+def test_licence_notice_in_a_third_of_the_documents(spark):
+    rows = [(i, licenses.TEMPLATES[(1, 5)[i % 2]][1] if i < 20 else f"other prose {i}") for i in range(60)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("mit", "bsd")[i % 2] if i < 20 else "" for i in range(60)}
+
+
 def test_benchmark_in_parts(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2"), (3, None), (4, "a0 a1 zz a2 a3 a4 a5 a6 a7 a8 a9")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2")], "item_id long, text string")
