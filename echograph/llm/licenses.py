@@ -1,7 +1,8 @@
 """Licence scan by a positional rare-token index, native Spark only.
 
-Templates are indexed by word and position. Of each file's licence words those with the highest
-inverse document frequency, counted over all documents, are looked up; postings that agree on the
+Templates are indexed by word and position. For each template of which a key phrase is in the file,
+those of its words in the file with the highest inverse document frequency, counted over all
+documents, are looked up; postings that agree on the
 relative position (file position minus template position) are intersected by counting; a template
 stands if enough of its rare words agree and a mandatory key phrase of it is in the file.
 
@@ -40,7 +41,7 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
 ]
 
-#: Licence words looked up for each file, and the share of a template's that must agree.
+#: Words looked up for each file and template, and the share of a template's that must agree.
 RARE_WORDS = 8
 AGREEMENT = 0.6
 
@@ -94,14 +95,16 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = word_idf(docs)
     rare = sorted(idf, key=lambda w: (-idf[w], w))  # array positions stand for ranks: rarest first
-    rank = F.array(*map(F.lit, rare)).cast("array<string>")
 
-    def anchors(words: Column) -> Column:
-        """(w, pos) of the file's rarest licence words."""
-        own = F.slice(F.array_sort(F.transform(F.array_distinct(F.filter(words, lambda w: w.isin(rare))), lambda w: F.array_position(rank, w))), 1, RARE_WORDS)
-        top = F.transform(own, lambda i: F.element_at(rank, i.cast("int")))
-        placed = lambda keep: F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(keep, w), F.struct(w.alias("w"), i.alias("pos")))), lambda x: x.isNotNull())
-        return let(top, lambda keep: F.when(F.size(keep) > 0, placed(keep)))
+    ranked = F.array(*[F.array(*[F.lit(w) for w in rare if w in text.split()]) for _, text, _ in TEMPLATES])
+
+    def anchors(words: Column, keys: Column) -> Column:
+        """(w, pos, of) of the rarest words of each template in keys; of: the templates that chose w."""
+        own = F.array_distinct(F.filter(words, lambda w: w.isin(rare)))
+        top = lambda held: F.transform(keys, lambda t: F.struct(t.alias("t"), F.slice(F.array_intersect(F.get(ranked, t), held), 1, RARE_WORDS).alias("ws")))
+        of = lambda tops, w: F.transform(F.filter(tops, lambda x: F.array_contains(x["ws"], w)), lambda x: x["t"])
+        placed = lambda tops: F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("pos"), of(tops, w).alias("of")))), lambda x: x.isNotNull() & (F.size(x["of"]) > 0))
+        return F.when(F.size(keys) > 0, let(let(own, top), placed))
 
     def measure(norm: Column) -> Column:
         n = _spaces(norm) - 1
@@ -111,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
             n.cast("long").alias("n_words"),
             places.alias("places"),
             F.array_compact(keys).alias("keys"),
-            let(F.split(F.trim(norm), " "), anchors).alias("anchors"),
+            let(F.array_compact(keys), lambda k: let(F.split(F.trim(norm), " "), lambda words: anchors(words, k))).alias("anchors"),
         )
 
     rows = materialise(
@@ -119,15 +122,14 @@ def scan(docs: DataFrame) -> DataFrame:
         "licence-rows",
     )
     postings = spark.createDataFrame([(w, t, i) for w, t, i in template_postings() if w in idf] or [("", -1, 0)], "w string, template int, tpos int")
-    held = rows.filter(F.size("keys") > 0).select("_id", "_text", "keys", F.explode("anchors").alias("a"))
-    held = held.select("_id", "_text", "keys", F.col("a.w").alias("w"), F.col("a.pos").alias("pos"))
+    held = rows.select("_id", "_text", F.explode("anchors").alias("a"))
+    held = held.select("_id", "_text", F.col("a.w").alias("w"), F.col("a.pos").alias("pos"), F.explode("a.of").alias("template"))
     agreed = (
-        held.join(F.broadcast(postings), "w")  # the templates' words, a constant
-        .filter(F.array_contains("keys", F.col("template")))
+        held.join(F.broadcast(postings), ["w", "template"])  # the templates' words, a constant
         .groupBy("_id", "_text", "template", (F.col("pos") - F.col("tpos")).alias("offset"))
         .agg(F.count_distinct("tpos").alias("n"))
     )
-    sizes = postings.join(held.select("_id", "_text", "w").distinct(), "w").groupBy("_id", "_text", "template").agg(F.count("*").alias("of"))
+    sizes = postings.join(held.select("_id", "_text", "w", "template").distinct(), ["w", "template"]).groupBy("_id", "_text", "template").agg(F.count("*").alias("of"))
     names = spark.createDataFrame([(t, label) for t, (label, _, _) in enumerate(TEMPLATES)], "template int, label string")
     stands = (
         agreed.groupBy("_id", "_text", "template").agg(F.max("n").alias("n")).join(sizes, ["_id", "_text", "template"])

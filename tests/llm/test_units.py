@@ -181,6 +181,13 @@ def test_licence_notice_in_a_third_of_the_documents(spark):
     assert got == {i: ("mit", "bsd")[i % 2] if i < 20 else "" for i in range(60)}
 
 
+def test_licences_of_one_file_keep_their_own_rare_words(spark):
+    rows = [(1, " and ".join(licenses.TEMPLATES[t][1] for t in (1, 5, 6, 7)))] + [(10 + i, licenses.TEMPLATES[(5, 6, 7)[i % 3]][1]) for i in range(9)]
+    rows += [(100 + i, f"other prose {i}") for i in range(200)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "bsd,cc-by,mit,mpl" and got[10] == "bsd" and got[11] == "cc-by" and got[12] == "mpl" and got[100] == ""
+
+
 def test_benchmark_in_parts(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2"), (3, None), (4, "a0 a1 zz a2 a3 a4 a5 a6 a7 a8 a9")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2")], "item_id long, text string")
