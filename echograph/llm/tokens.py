@@ -14,8 +14,11 @@ _ODD = re.compile(r"[^\S \n]").search
 _NEWLINE = "\n"
 #: Units that a worker keeps, about 230 bytes each.
 CACHED_UNITS = 1_200_000
-#: A word that is one run of letters for the pre-tokenizer, in any Unicode version.
+#: A word that is one run of letters for the pre-tokenizer, in any Unicode version, and such a word
+#: with a run of marks behind it, which is a run of its own. The apostrophe may start a contraction.
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\x22-&(-/:-@\[-`{-~]+)").fullmatch
+_MARKS = re.compile(r"[!\x22-&(-/:-@\[-`{-~]+").fullmatch
 
 
 def _byte_letters() -> dict[int, int]:
@@ -26,7 +29,8 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+#: Newlines stay: they part words here.
+_LETTERS = {b: chr(c) for b, c in _byte_letters().items() if b != 0x0A}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,7 +61,7 @@ class UnitEncoder:
         by_units = plain and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         newline = self._ids(_NEWLINE)
         self.newline = int(newline[0]) if by_units and len(newline) == 1 else None
-        self.fixed = {_NEWLINE: newline.tobytes(), ".": self._ids(".").tobytes(), ",": self._ids(",").tobytes()}
+        self.fixed = {_NEWLINE: newline.tobytes()}
         self.cache: dict[str, bytes] = dict(self.fixed)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -66,10 +70,13 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of new units: words straight through the model, which sees its byte letters; the
         rest from one text with a unit a line, where newline ids mark the cuts."""
-        words = [u for u in units if _WORD(u)]
-        letters = _NEWLINE.join(words).encode().decode("latin-1").split(_NEWLINE)
+        words = [u for u in units if _WORD(u) or _MARKS(u)]
+        plain = [u for u in words if u.isascii()]  # of their bytes only the space has another letter
+        other = [u for u in words if not u.isascii()]
+        letters = _NEWLINE.join(plain).replace(" ", _LETTERS[0x20]).split(_NEWLINE)
+        letters += _NEWLINE.join(other).encode().decode("latin-1").translate(_LETTERS).split(_NEWLINE)
         model = self.tokenizer.model.tokenize
-        out = {u: array("I", [t.id for t in model(v.translate(_LETTERS))]).tobytes() for u, v in zip(words, letters)}
+        out = {u: array("I", [t.id for t in model(v)]).tobytes() for u, v in zip(plain + other, [v for v in letters if v])}
         units = [u for u in units if u not in out]
         if not units:
             return out
@@ -92,14 +99,14 @@ class UnitEncoder:
             odd = {u for u in need if _ODD(u)}
             need -= odd
             split = [None if u is None or not odd.isdisjoint(u) else u for u in split]
-        # A full stop or comma after a letter is a run of its own: only the bare word is learned.
-        tails = [u for u in need if u[-1] in ".," and u[-2:-1].isalpha()]
-        need.difference_update(tails)
-        need.update({u[:-1] for u in tails}.difference(cache))
+        # Marks after a word are a run of their own: the bare word and the marks are learned.
+        tails = [m.groups() for m in map(_TAILED, need) if m]
+        need.difference_update(word + marks for word, marks in tails)
+        need.update({part for tail in tails for part in tail}.difference(cache))
         new = self._learn(list(need)) if need else {}
         cache.update(new)
-        for unit in tails:
-            new[unit] = cache[unit] = cache[unit[:-1]] + self.fixed[unit[-1]]
+        for word, marks in tails:
+            new[word + marks] = cache[word + marks] = cache[word] + cache[marks]
         get = cache.__getitem__
         out = [self._ids(t).tobytes() if u is None else b"".join(map(get, u)) for t, u in zip(texts, split)]
         if len(cache) > self.limit:
