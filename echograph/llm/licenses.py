@@ -1,19 +1,22 @@
 """Licence scan by a positional rare-token index, native Spark only.
 
-Templates are indexed by word and position. For each template of which a key phrase is in the file,
-those of its words in the file with the highest inverse document frequency, counted over all
-documents, are looked up; postings that agree on the
-relative position (file position minus template position) are intersected by counting; a template
-stands if enough of its rare words agree and a mandatory key phrase of it is in the file.
-
-A null text is empty. Repeated rows get equal results; an empty table gives no rows. Only doc_id and
-text are read, so extra columns don't matter. Long texts are handled whole: postings leave the row
-as rows of (document, template, offset), never as a group of one document.
+Licence texts are indexed by word and position. Of each template the ``RARE_WORDS`` words with the
+highest inverse document frequency, counted over all documents, are looked up in the files; postings
+are intersected by relative position (file position minus template position, in overlapping bins, so
+that a name or a year put in doesn't part a licence). A template stands in a file if ``AGREEMENT`` of
+its rare words' places agree and one of its mandatory key phrases is there. The score is the best
+share of agreeing places among templates with a key phrase in the file, 0 without any; base phrases
+give their label whatever the score.
+
+A null or empty text has no words. Ties in frequency go by the alphabet. Repeated rows get equal
+results, and a null doc_id is told apart by its text; an empty table gives no rows. Only doc_id and
+text are read, so extra columns don't matter. Long texts are handled whole: postings leave the row as
+rows of (document, template, bin), never as a group of many documents.
 """
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +32,53 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-#: (label, text, key phrases of which one is mandatory).
+# Fixed values: (label, public licence text or notice, key phrases of which one is mandatory).
 TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted"]),
-    ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ["apache license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["gnu general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution", "cc by"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+     documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+     rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+     persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+     and this permission notice shall be included in all copies or substantial portions of the Software.""",
+     ["permission is hereby granted"]),
+    ("mit", "Released under the MIT License.", ["mit license"]),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+     following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+     conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
+     this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+     distribution.""",
+     ["redistribution and use in source and binary forms"]),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+     granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+     ["permission to use copy modify"]),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+     with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
+     by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+     WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+     governing permissions and limitations under the License.""",
+     ["apache license"]),
+    ("apache", "Licensed under the Apache License, Version 2.0.", ["apache license"]),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+     License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+     version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+     implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+     ["gnu general public license", "free software foundation"]),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license"]),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution"]),
+    ("cc-by", "Licensed under CC BY 4.0.", ["cc by"]),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+     distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+     ["mozilla public license"]),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+     use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+     commercial or non-commercial, and by any means.""",
+     ["unencumbered software released into the public domain"]),
 ]
 
-#: Words looked up for each file and template, and the share of a template's that must agree.
+#: Words of a template that are looked up, and the share of their places that must agree.
 RARE_WORDS = 8
 AGREEMENT = 0.6
+#: Words by which places may differ and still agree, at least; bins are twice as wide.
+SLACK = 8
 
 
 def normal_text(text: Column) -> Column:
@@ -71,73 +106,67 @@ def _place(norm: Column, n_words: Column, phrase: str, label: str) -> Column:
     return F.when(F.contains(norm, F.lit(with_ends)), found)
 
 
-def template_postings() -> list[tuple[str, int, int]]:
-    return [(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for w, _, _ in template_postings()})
+def vocabulary() -> list[str]:
+    return sorted({w for _, text, _ in TEMPLATES for w in template_words(text)})
 
 
-def word_idf(docs: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of the templates' words over all documents; one number a word."""
-    words = F.split(F.trim(normal_text(F.col("text"))), " ")
-    vocabulary = _vocabulary()
-    held = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.filter(words, lambda w: w.isin(vocabulary))))).alias("w"))
-    df = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words at most
-    total = df.pop("", 0)
-    return {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}  # common words rank last, none is dropped
+def document_counts(docs: DataFrame) -> dict[str, int]:
+    """Documents that hold each of the templates' words; one number a word comes to the driver."""
+    words, known = F.split(F.trim(normal_text(F.col("text"))), " "), vocabulary()
+    held = docs.select(F.explode(F.array_distinct(F.filter(words, lambda w: w.isin(known)))).alias("w"))
+    return {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
+def rare_postings(counts: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """(word, template, place, places in all) of each template's rarest words. The fewer documents hold
+    a word the higher its inverse document frequency; a common word ranks last, none is left out for it."""
+    out = []
+    for t, (_, text, _) in enumerate(TEMPLATES):
+        words = template_words(text)
+        rare = set(sorted(set(words), key=lambda w: (counts.get(w, 0), w))[:RARE_WORDS])
+        places = [(w, i) for i, w in enumerate(words) if w in rare]
+        out += [(w, t, i, len(places)) for w, i in places]
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    idf = word_idf(docs)
-    rare = sorted(idf, key=lambda w: (-idf[w], w))  # array positions stand for ranks: rarest first
-
-    ranked = F.array(*[F.array(*[F.lit(w) for w in rare if w in text.split()]) for _, text, _ in TEMPLATES])
+    postings = rare_postings(document_counts(docs))
+    rare = sorted({w for w, *_ in postings})
 
-    def anchors(words: Column, keys: Column) -> Column:
-        """(w, pos, of) of the rarest words of each template in keys; of: the templates that chose w."""
-        own = F.array_distinct(F.filter(words, lambda w: w.isin(rare)))
-        top = lambda held: F.transform(keys, lambda t: F.struct(t.alias("t"), F.slice(F.array_intersect(F.get(ranked, t), held), 1, RARE_WORDS).alias("ws")))
-        of = lambda tops, w: F.transform(F.filter(tops, lambda x: F.array_contains(x["ws"], w)), lambda x: x["t"])
-        placed = lambda tops: F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("pos"), of(tops, w).alias("of")))), lambda x: x.isNotNull() & (F.size(x["of"]) > 0))
-        return F.when(F.size(keys) > 0, let(let(own, top), placed))
+    def anchors(words: Column) -> Column:
+        placed = F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("pos"))))
+        return F.filter(placed, lambda x: x.isNotNull())
 
     def measure(norm: Column) -> Column:
         n = _spaces(norm) - 1
         places = F.filter(F.array(*[_place(norm, n, p, label) for p, label in PHRASES]), lambda x: x.isNotNull())
-        keys = F.array(*[F.when(F.array_contains(F.array(*[F.contains(norm, F.lit(f" {p} ")) for p in phrases]), True), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)])
-        return F.struct(
-            n.cast("long").alias("n_words"),
-            places.alias("places"),
-            F.array_compact(keys).alias("keys"),
-            let(F.array_compact(keys), lambda k: let(F.split(F.trim(norm), " "), lambda words: anchors(words, k))).alias("anchors"),
-        )
-
-    rows = materialise(
-        docs.select(*row_key(F.col("text")), "doc_id", let(normal_text(F.col("text")), measure).alias("m")).select("_id", "_text", "doc_id", "m.*"),
-        "licence-rows",
-    )
-    postings = spark.createDataFrame([(w, t, i) for w, t, i in template_postings() if w in idf] or [("", -1, 0)], "w string, template int, tpos int")
-    held = rows.select("_id", "_text", F.explode("anchors").alias("a"))
-    held = held.select("_id", "_text", F.col("a.w").alias("w"), F.col("a.pos").alias("pos"), F.explode("a.of").alias("template"))
+        held = lambda phrases: F.array_contains(F.array(*[F.contains(norm, F.lit(f" {p} ")) for p in phrases]), True)
+        keys = F.array_compact(F.array(*[F.when(held(phrases), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)]))
+        found = lambda k: F.struct(k.alias("keys"), F.when(F.size(k) > 0, anchors(F.split(F.trim(norm), " "))).alias("anchors"))
+        return F.struct(n.cast("long").alias("n_words"), places.alias("places"), let(keys, found).alias("found"))
+
+    rows = docs.select(*row_key(F.col("text")), "doc_id", let(normal_text(F.col("text")), measure).alias("m"))
+    rows = materialise(rows.select("_id", "_text", "doc_id", "m.n_words", "m.places", "m.found.*"), "licence-rows")
+    index = spark.createDataFrame(postings, "w string, template int, tpos int, of int")
+    held = rows.filter("size(anchors) > 0").select("_id", "_text", "keys", F.inline("anchors"))
+    offset = F.col("pos") - F.col("tpos")
+    bins = F.array(*[F.struct(F.lit(k).alias("shift"), F.floor((offset + k * SLACK) / (2 * SLACK)).alias("bin")) for k in (0, 1)])
     agreed = (
-        held.join(F.broadcast(postings), ["w", "template"])  # the templates' words, a constant
-        .groupBy("_id", "_text", "template", (F.col("pos") - F.col("tpos")).alias("offset"))
-        .agg(F.count_distinct("tpos").alias("n"))
-    )
-    sizes = postings.join(held.select("_id", "_text", "w", "template").distinct(), ["w", "template"]).groupBy("_id", "_text", "template").agg(F.count("*").alias("of"))
-    names = spark.createDataFrame([(t, label) for t, (label, _, _) in enumerate(TEMPLATES)], "template int, label string")
-    stands = (
-        agreed.groupBy("_id", "_text", "template").agg(F.max("n").alias("n")).join(sizes, ["_id", "_text", "template"])
-        .withColumn("share", F.col("n") / F.col("of"))
-        .filter(F.col("share") >= AGREEMENT)
-        .join(F.broadcast(names), "template")
-        .groupBy("_id", "_text").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+        held.join(F.broadcast(index), "w")  # the rare words of the templates, a constant
+        .filter(F.array_contains("keys", F.col("template")))
+        .select("_id", "_text", "template", "of", "tpos", F.inline(bins))
+        .groupBy("_id", "_text", "template", "of", "shift", "bin").agg(F.size(F.collect_set("tpos")).alias("n"))
     )
+    names = F.create_map(*[F.lit(x) for t, (label, _, _) in enumerate(TEMPLATES) for x in (t, label)])
+    share = F.col("n") / F.col("of")
+    stands = agreed.groupBy("_id", "_text").agg(F.collect_set(F.when(share >= AGREEMENT, names[F.col("template")])).alias("found"), F.max(share).alias("share"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
     out = rows.join(stands, ["_id", "_text"], "left")
     every = F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>"))))
@@ -148,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(F.transform("places", lambda x: x["last"])).alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.least("share", F.lit(1.0)), F.lit(0.0))).alias("score"),
+        F.coalesce("share", F.lit(0.0)).alias("score"),
     )
 
 

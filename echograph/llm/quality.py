@@ -2,10 +2,14 @@
 
 Base rules judge a text by itself. The corpus rule hashes normalised lines, counts the distinct
 documents of each host (``source``) that hold a line, and takes a line away if more than ``min_docs``
-have it, however large the host is; a document with too few words left is depleted and rejected. Copies of one text are one document here, so copies alone reject nothing.
-
-Nulls: a null text has no words and fails; a null host is a host of its own. Repeated rows get equal
-results. Empty tables give no rows. Only doc_id, text and source are read.
+have it, however large the host is; a document with too little of its words left is depleted and
+rejected. A document is a doc_id with a text: copies under other ids count as documents of their own,
+so text that one host repeats in more than ``min_docs`` documents goes, whole copies included.
+
+Nulls: a null text has no words and fails; a null host is a host of its own; a null doc_id is an id
+like any other. Rows that repeat id and text count once and get equal results. A text without line
+breaks, however long, is one line. Ties can't arise: nothing is ranked. Empty tables give no rows.
+``judge`` reads doc_id, text and source only; ``clean`` packs all columns, so any names may occur.
 """
 
 from __future__ import annotations
@@ -106,7 +110,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(host, line, n_docs) of lines above the limit. Each document counts once; the counts combine on
     the map side, so a line or host with a third of all rows doesn't meet in one task."""
-    seen = lines.select("host", "line", "_text").distinct()
+    seen = lines.select("host", "line", "_id", "_text").distinct()
     return seen.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
 
 
