@@ -2,14 +2,19 @@
 
 A record hashes into one of ``slots`` virtual slots, for good. Bytes and rows are summed per slot,
 and a versioned map of at most ``slots`` rows says which shard holds each slot. Rebalancing edits
-that map (a new version); records never rehash.
-
-Nulls: a null text has no bytes; a null doc_id hashes by its text. Repeated rows are rows of their
-own; equal ones take neighbouring places. An empty table gives no rows and a map of empty slots.
+that map: it adds a version, made from the latest stored one, and never changes an older one; records
+never rehash.
+
+The hash takes doc_id, text and, where whole rows repeat, the number of the copy, so neither one id
+nor one row with a third of the table fills a slot. Nulls: a null text has no bytes, a null doc_id is
+told apart by its text. Ties in a slot are rows with the same id, checksum and size, which are alike in
+all that is returned. Texts of any length are read once, for length and hashes. Other columns, whatever
+their names, are not read. An empty table gives no rows and a map of empty slots.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +24,27 @@ SLOTS = 8192
 SHARDS = 16
 
 
+#: Copies of one row that leave a task at a time.
+_COPIES = 4096
+
+
 def slot_records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): all that is read of the texts, in one scan."""
+    """(doc_id, size, text_crc32, virtual_slot): all that is read of the texts, in one scan. Rows that
+    repeat are counted with map-side combination, then dealt out again by the number of the copy."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
-    return docs.select(
+    read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text).alias("hash"),
     )
+    once = read.groupBy("doc_id", "size", "text_crc32", "hash").agg(F.count("*").alias("n"))
+    chunks = once.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_COPIES).cast("long"))))
+    many = chunks.filter("n > 1").repartition("hash", "first")
+    copies = F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + _COPIES) - 1))
+    rows = chunks.filter("n = 1").withColumn("copy", F.lit(0).cast("long")).unionByName(many.withColumn("copy", copies))
+    slot = F.pmod(F.when(F.col("copy") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "copy")), F.lit(slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_totals(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -47,12 +63,13 @@ def initial_map(totals: DataFrame, shards: int = SHARDS) -> DataFrame:
 def rebalance(shard_map: DataFrame, totals: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The next version of the map: each shard keeps its largest slots up to the mean load, and the
     others move, largest first, each to the shard that is lightest by then. New shards (``shards``
-    over those in the map) fill up the same way. The fold runs over ``slots`` entries, a constant."""
+    over those in the map) fill up the same way, and shards beyond ``shards`` are emptied. The fold runs
+    over ``slots`` entries, a constant."""
     load = totals.join(shard_map, "virtual_slot")
     mean = F.sum("bytes").over(Window.partitionBy(F.lit(1))) / F.lit(shards)
     upto = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     load = load.withColumn("mean", mean).withColumn("upto", F.sum("bytes").over(upto))
-    load = load.withColumn("stays", F.col("upto") <= F.col("mean"))
+    load = load.withColumn("stays", (F.col("upto") <= F.col("mean")) & (F.col("shard") < shards))
     entry = F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes")
     state = load.agg(
         F.array_sort(F.collect_list(F.when(~F.col("stays"), entry))).alias("moving"),
@@ -74,36 +91,45 @@ def rebalance(shard_map: DataFrame, totals: DataFrame, shards: int = SHARDS) ->
     )
 
 
-def save_map(shard_map: DataFrame, path: str) -> None:
-    """Versions lie side by side; an earlier one stays readable."""
-    shard_map.write.mode("append").partitionBy("version").parquet(path)
+def save_map(shard_map: DataFrame, path: str, version: int) -> None:
+    """Store a version beside the others; one that is there already is an error, never overwritten."""
+    shard_map.select("virtual_slot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def map_version(spark: SparkSession, path: str) -> int | None:
+    """The latest stored version."""
+    try:
+        return spark.read.parquet(path).agg(F.max(F.col("version").cast("int"))).first()[0]
+    except AnalysisException:  # nothing is stored there yet
+        return None
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version of a stored map, the latest by default."""
-    maps = spark.read.parquet(path).select(F.col("version").cast("int"), "virtual_slot", "shard")
-    if version is None:
-        return maps.join(maps.agg(F.max("version").alias("version")), "version", "left_semi")
-    return maps.filter(F.col("version") == version)
+    version = map_version(spark, path) if version is None else version
+    return spark.read.parquet(f"{path}/version={version}").select(F.lit(version).alias("version"), "virtual_slot", "shard")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Every record's shard and its place there, after one rebalancing by bytes.
 
     Returns doc_id, size, text_crc32, virtual_slot, map_version, shard and slot (places in a shard,
-    gapless from 0, by virtual slot, then doc_id and crc). The map is stored below ``map_path``.
-    Only the records (no text) shuffle, over virtual slots; the map joined in has ``slots`` rows.
+    gapless from 0, by virtual slot, then doc_id and crc). The map below ``map_path`` is edited, or made
+    with versions 0 (slots in turn) and 1. Only the records (no text) shuffle; the map joined in has
+    ``slots`` rows.
     """
     spark = docs.sparkSession
     records = materialise(slot_records(docs, slots), "shard-records")
     totals = materialise(slot_totals(records, slots), "shard-totals")
     path = map_path or new_path(spark, "shard-map")
-    first = initial_map(totals, shards)
-    save_map(first, path)
-    save_map(rebalance(load_map(spark, path, 0), totals, shards), path)
+    latest = map_version(spark, path) if map_path else None
+    if latest is None:
+        latest = 0
+        save_map(initial_map(totals, shards), path, latest)
+    save_map(rebalance(load_map(spark, path, latest), totals, shards), path, latest + 1)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        load_map(spark, path, 1)
+        load_map(spark, path, latest + 1)
         .join(totals, "virtual_slot")
         .select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     )

@@ -131,3 +131,36 @@ def test_awkward_rows_are_judged_plainly(spark):
     rows = [(i, t, f"s{(i or 0) % 2}") for i, t in awkward()]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert Counter((r.doc_id, r.left_share, r.kept) for r in got) == Counter(plain_quality(rows, quality.MIN_DOCS, quality.MIN_LEFT))
+
+
+def test_sharding_edits_a_stored_map(spark, tmp_path):
+    from echograph.llm import sharding
+
+    path, rng = str(tmp_path / "map"), random.Random(2)
+    rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(500)]
+    first = sharding.shard(frame(spark, rows), 8, map_path=path).collect()
+    grown = [*rows, *((7, prose(rng, 30)) for _ in range(4000)), *([(8, "same row " * 20)] * 4000), *[(None, None)] * 50]
+    second = sharding.shard(frame(spark, grown), 8, map_path=path).collect()
+    third = sharding.shard(frame(spark, grown), 9, map_path=path).collect()
+    fewer = sharding.shard(frame(spark, grown), 3, map_path=path).collect()
+    assert [len(x) for x in (first, second, third, fewer)] == [500, 8550, 8550, 8550]
+    assert [x[0].map_version for x in (first, second, third, fewer)] == [1, 2, 3, 4] and sharding.map_version(spark, path) == 4
+    maps = spark.read.parquet(path)
+    assert maps.groupBy("version", "virtual_slot").count().filter("count > 1").count() == 0 and maps.count() == 5 * sharding.SLOTS
+    for got, n in ((second, 8), (third, 9), (fewer, 3)):
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r["size"]
+        assert set(loads) == set(range(n)) and max(loads.values()) <= 1.05 * sum(loads.values()) / n
+        for k in range(n):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    key = lambda r: (r.doc_id, r.text_crc32, r["size"], r.virtual_slot)
+    assert Counter(map(key, second)) == Counter(map(key, third))
+    moved = sum(a.shard != b.shard for a, b in zip(sorted(second, key=key_order), sorted(third, key=key_order)))
+    assert moved < 0.3 * len(second)
+    with pytest.raises(Exception):
+        sharding.save_map(sharding.load_map(spark, path), path, 4)
+
+
+def key_order(r):
+    return (r.doc_id is None, r.doc_id or 0, r.text_crc32, r.virtual_slot, r.slot)
