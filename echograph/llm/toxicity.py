@@ -2,12 +2,16 @@
 
 Categories are predicted in a fixed order by linear (logistic) models over word presence. A later
 model also sees the log-odds of the earlier categories; in training these are out-of-fold
-predictions, so it learns from probabilities like those that it will be given.
-
-The models are fitted on at most ``SAMPLE`` labelled rows, taken in the order of a hash of doc_id;
-scoring covers all rows and whole texts, without a shuffle. A null text has no words and gets the
-models' base rates; repeated rows get equal rows; without any usable label every probability is 0;
-an empty table gives no rows. Of ``docs`` only doc_id and text are read.
+predictions, so it learns from probabilities like those that it will be given. The labels tell low
+quality and toxic; the third category, severe, is made here as both at once, to give the chain a link
+that depends on the two before it.
+
+The models are fitted on at most ``SAMPLE`` labelled rows, taken in the order of a hash of doc_id and
+text; scoring covers all rows and whole texts, however long, without a shuffle. Folds come from a hash
+of doc_id, so rows of one id share a fold. A null text has no words and gets the models' base rates;
+of labels that contradict each other the worse counts, null ones are left out; rows that repeat id and
+text count once in training and get equal scores; without any usable label every probability is 0; an
+empty table gives no rows. Of ``docs`` only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ from pyspark.sql import functions as F
 
 from echograph.llm.bytewords import Words
 from echograph.llm.tokens import text_blocks
+from echograph.session import materialise
 
 SAMPLE = 8000
 WORDS_PER_CATEGORY = 512
-FOLDS = 3
+FOLDS = 5
 STEPS = 400
+#: A fit has converged when no weight moves by more than this share of the largest.
+TOLERANCE = 1e-3
 PENALTY = 0.003
 CHAIN = ("low_quality", "toxic", "severe")
 _SEED = 3
@@ -86,7 +93,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps:
         moved = float(np.abs(nw - w).max(initial=0.0))
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
-        if t > 50 and moved < 2e-3 * float(np.abs(w).max(initial=0.0)):
+        if t > 50 and moved < TOLERANCE * float(np.abs(w).max(initial=0.0)):
             break
     return (w / norm).astype(np.float64), b / big
 
@@ -144,16 +151,28 @@ def _presence_rows(hashes: np.ndarray):
             doc, word = presence([t or "" for t in batch.column("text").to_pylist()], hashes)
             split = np.split(word, np.searchsorted(doc, np.arange(1, batch.num_rows)))
             held = pa.array([w.tolist() for w in split][: batch.num_rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "quality", "toxic")] + [held], ["doc_id", "quality", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "hash", "fold", "quality", "toxic")] + [held], ["doc_id", "hash", "fold", "quality", "toxic", "words"])
 
     return run
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, hash, fold, quality, toxic): at most ``sample`` rows, stored. Of the labels at most
+    ``sample`` are broadcast; where ids repeat, the labelled rows themselves are cut to as many."""
+    usable = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = usable.agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(chosen), "doc_id")
+    rows = materialise(rows, "toxicity-labelled")
+    keys = rows.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(sample)
+    rows = rows.join(F.broadcast(keys), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    return materialise(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS_PER_CATEGORY) -> Chain:
-    """Fit the chain. At most ``sample`` labels are broadcast and as many rows come to the driver."""
-    usable = labels.filter("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    """Fit the chain on the driver: at most ``sample`` rows of ``2 * words`` presences."""
+    rows = training_rows(docs, labels, sample)
     clean = F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     held = rows.select("toxic", (F.col("quality") == 0).cast("int").alias("low"), F.explode(F.array_distinct(clean)).alias("w"))
     sums = held.filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("low").alias("low")).filter("n >= 3")
@@ -167,15 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     if not found:
         return Chain(np.zeros(0, np.uint64))
     hashes = np.unique(Words(sorted(found), "alnum").hashes(_SEED))
-    got = rows.mapInArrow(_presence_rows(hashes), "doc_id long, quality int, toxic int, words array<int>").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(_presence_rows(hashes), "doc_id long, hash long, fold int, quality int, toxic int, words array<int>").toArrow().sort_by([("doc_id", "ascending"), ("hash", "ascending")])
     x = np.zeros((got.num_rows, len(hashes)), np.float32)
     held_words = got.column("words").combine_chunks()
     held_words = held_words.chunk(0) if isinstance(held_words, pa.ChunkedArray) else held_words
     sizes = np.diff(held_words.offsets.to_numpy())
     x[np.repeat(np.arange(got.num_rows), sizes), held_words.flatten().to_numpy()] = 1
     low, toxic = got.column("quality").to_numpy() == 0, got.column("toxic").to_numpy() == 1
-    fold = np.arange(got.num_rows) % FOLDS
-    return fit_chain(x, np.stack([low, toxic, low & toxic], axis=1), fold, hashes)
+    return fit_chain(x, np.stack([low, toxic, low & toxic], axis=1), got.column("fold").to_numpy(), hashes)
 
 
 _SCORED = "doc_id long, p_low_quality double, p_toxic double, p_severe double, toxic boolean"

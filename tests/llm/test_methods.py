@@ -164,3 +164,43 @@ def test_sharding_edits_a_stored_map(spark, tmp_path):
 
 def key_order(r):
     return (r.doc_id is None, r.doc_id or 0, r.text_crc32, r.virtual_slot, r.slot)
+
+
+def test_chain_scores_by_definition(spark):
+    """Scoring against a loop over words, on whole texts of the plain and the awkward rows."""
+    import math
+
+    from echograph.llm import toxicity
+    from echograph.llm.bytewords import Words
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.limit(300).collect()] + awkward()
+    number = {int(h): k for k, h in enumerate(chain.hashes)}
+    want = []
+    for i, t in rows:
+        held = {number[h] for h in Words([(t or "").lower()], "alnum").hashes(3).tolist() if h in number}
+        odds = []
+        for bias, weights, earlier in zip(chain.bias, chain.weights, chain.earlier):
+            z = bias + sum(weights[k] for k in held) + sum(w * max(-4.0, min(4.0, o)) for w, o in zip(earlier, odds))
+            odds.append(z)
+        want.append((i, *(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in odds)))
+    got = [(r.doc_id, r.p_low_quality, r.p_toxic, r.p_severe) for r in toxicity.score(frame(spark, rows), chain).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert a[0] == b[0] and all(abs(x - y) < 2e-6 for x, y in zip(a[1:], b[1:]))
+
+
+def test_training_rows_are_bounded(spark):
+    from echograph.llm import toxicity
+
+    rng = random.Random(3)
+    docs = frame(spark, [(i % 20, prose(rng, 20)) for i in range(2000)] + [(3, "same text again")] * 50)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(20)] + [(3, 1, 0), (3, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, 100).collect()
+    assert len(rows) == 100 and len({(r.doc_id, r["hash"]) for r in rows}) == 100
+    assert all(len({r.fold for r in rows if r.doc_id == i}) <= 1 for i in range(20))
+    whole = toxicity.training_rows(docs, labels).collect()
+    assert len(whole) == 2001 and all(0 <= r.fold < toxicity.FOLDS for r in whole)
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == docs.count()
