@@ -200,7 +200,8 @@ def test_packing_prefers_neighbours():
     rng = np.random.default_rng(0)
     topic = lambda k: rng.integers(1000 * k, 1000 * k + 40, 300).astype("<u4")
     docs = [topic(k % 4) for k in range(40)]
-    pieces = list(packing.fill(docs, 0, 1200))
+    lexicon = packing.Lexicon({f"!{i}": i for i in range(4000)}, 1)
+    pieces = list(packing.fill(docs, 0, lexicon, 1200))
     windows = {}
     for doc, _, _, closed, _ in pieces:
         windows.setdefault(closed, set()).add(doc % 4)
@@ -220,11 +221,72 @@ def test_packing_finds_neighbours_of_other_partitions(spark):
     assert sum(bool(windows[i] & windows[i + 300]) for i in range(300)) > 0.7 * 300
 
 
-def test_packing_counts_terms_over_all_documents(spark):
-    docs = [packing.store(np.array(x, "<u4").tobytes()) for x in ([5, 5, 1], [5, 7, 1], [9, 1], [1])]
-    corpus = packing.corpus_of(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, tokens binary").repartition(3))
-    assert packing.load(packing.store(np.array([70_000, 1], "<u4").tobytes())).tolist() == [70_000, 1]
-    assert corpus.mean == 9 / 4 and np.allclose(corpus.idf[[1, 5, 7, 9]], [0, 0, np.log(3.5 / 1.5), np.log(3.5 / 1.5)])
+def words_of(lexicon, ids):
+    out = []
+    for i in ids.tolist():
+        if lexicon.starts[i] or not out:
+            out.append(())
+        out[-1] += (i,)
+    return out
+
+
+def test_packing_counts_words_over_all_documents(spark):
+    rng = random.Random(1)
+    texts = [None, "", "the cat, the  dog\n", "<|endoftext|>", *(" ".join(rng.choice(["the", "of", "zyzzyva", "don't", "a.b"]) for _ in range(k)) for k in range(60))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    path = packing.vocabulary_path()
+    encoded = df.mapInArrow(packing._token_rows(path, 1, 1000), packing._ENCODED).cache()
+    rows = encoded.filter("counts is null").collect()
+    assert len(rows) == len(texts) and packing.load(packing.store(np.array([70_000, 1], "<u4").tobytes())).tolist() == [70_000, 1]
+    lexicon, counts, total = packing.lexicon_of(path, 1), {}, 0
+    for r in rows:
+        held = words_of(lexicon, packing.load(r.tokens))
+        total += len(held)
+        for w in set(held):
+            h, _, _ = lexicon.words(np.array(w, "<u4"), np.array([0]))
+            counts[w] = (int(packing.bucket(h)[0]), counts.get(w, (0, 0))[1] + 1)
+    corpus = packing.corpus_of(encoded)
+    assert corpus.mean == total / len(texts) and len({b for b, _ in counts.values()}) == len(counts)
+    for b, n in counts.values():
+        assert np.isclose(corpus.idf[b], max(0.0, np.log((len(texts) - n + 0.5) / (n + 0.5))))
+
+
+def test_packing_by_definition():
+    """A shard's pieces against BM25 and the greedy filling written out."""
+    rng = random.Random(9)
+    vocabulary = {("\u0120" if i % 3 else "") + f"w{i}": i for i in range(2, 90)}
+    lexicon = packing.Lexicon(vocabulary, 1)
+    docs = [np.array([rng.randint(2, 89) for _ in range(rng.choice([0, 3, 30, 30, 90, 400]))] + [1], "<u4") for _ in range(70)]
+    words = [words_of(lexicon, d) for d in docs]
+    df = {w: sum(w in own for own in words) for own in words for w in own}
+    mean = sum(map(len, words)) / len(words)
+    idf = {w: max(0.0, float(np.log((len(docs) - n + 0.5) / (n + 0.5)))) for w, n in df.items()}
+
+    def score(seed, other):
+        tf = lambda w: words[other].count(w)
+        return sum(idf[w] * tf(w) * 2.2 / (tf(w) + 1.2 * (0.25 + 0.75 * len(words[other]) / mean)) for w in sorted(set(words[seed]) & set(words[other])) if df[w] > 1)
+
+    window, used, free, out, seed, closed, ranked = 100, 17, set(range(len(docs))), [], None, 0, []
+    while free:
+        if seed is None:
+            seed = doc = min(free)
+            ranked = sorted(range(len(docs)), key=lambda k: (-round(score(seed, k), 9), k))
+        else:
+            doc = next(k for k in ranked if k in free)
+        free.discard(doc)
+        start = 0
+        while start < len(docs[doc]):
+            n = min(window - used, len(docs[doc]) - start)
+            out.append((doc, start, n, closed, used))
+            start, used = start + n, used + n
+            if used == window:
+                closed, used = closed + 1, 0
+                seed = doc if start < len(docs[doc]) else None
+                if seed is not None:
+                    ranked = sorted(range(len(docs)), key=lambda k: (-round(score(seed, k), 9), k))
+    got = list(packing.fill(docs, 17, lexicon, window))
+    assert sorted(r[:3] for r in got) and sum(r[2] for r in got) == sum(map(len, docs))
+    assert got == out
 
 
 def test_chain_feeds_earlier_categories():
