@@ -2,37 +2,44 @@
 
 Of every window of ``WINDOW`` words the least ``GRAM``-word hash inside it is its fingerprint; equal
 windows have equal fingerprints, and few positions are chosen, so the index holds about one entry per
-14 words. Each batch of documents becomes a sorted immutable run (fingerprint, count); a batch is
-merge-joined with the runs before it, and compaction merges runs into one. Fingerprints that occur
-twice or more only nominate windows: nominated windows are verified by a second hash over all their
-words (with the fingerprint 128 bits in all), grouped by fingerprint. Fingerprints with more than
-``HOT`` places are verified window by window instead, so that no task gathers an unbounded group.
-
-A word goes if a window that occurs anywhere else covers it, the first occurrence included. Nulls
-have no words; repeated rows are documents of their own, so each one's windows repeat in the others;
-a null doc_id is kept; an empty table gives no rows. Other columns are not read.
+14 words. Each batch of documents becomes a sorted immutable run (fingerprint, count). A batch is
+merge-joined with the runs before it: its fingerprints that an earlier run holds, and those that it
+holds twice itself, nominate windows. Nominated windows, in this batch and in the earlier documents,
+are verified by a second hash over all their words, counted with map-side combination (with the
+fingerprint 128 bits in all). Then compaction merges the runs. ``dedup`` with an ``index_path`` goes on
+with the index that it finds there: a manifest names the live runs and the earlier documents kept for
+verification, and its next version is written last, so a failed call leaves the index as it was.
+
+A word goes if a window that occurs anywhere else covers it, the first occurrence of the batch
+included; earlier batches aren't rewritten. Nulls have no words; repeated rows are documents of their
+own, so each one's windows repeat in the others; a null doc_id is kept and told apart by its text.
+There are no ties to break. Texts of any length are handled in whole, in blocks of documents. Other
+columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograph.llm.bytewords import Words, window_hashes
+from echograph.llm.quality import row_key
 from echograph.llm.tokens import text_blocks
 from echograph.session import materialise, new_path
 
 WINDOW = 35
 GRAM = 8
-HOT = 20_000
 BATCHES = 2
 BLOCK_CHARS = 500_000
+#: Repeated windows of one fingerprint that a row holds.
+FOUND = 4096
 _SEED = 5
 
 
@@ -81,128 +88,170 @@ def _as_long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def _packed(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binary values: the hashes from each of ``first`` up to the next."""
+    offsets = (np.append(first, len(hashes)) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, row of each) of binary values."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint64), np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
+
+
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        keys, runs = batch.column("rk").to_numpy(), batch.column("run").to_numpy()
+        own, text, runs = (batch.column(c).to_numpy() for c in ("_id", "_text", "run"))
         for a, b in text_blocks(texts, BLOCK_CHARS):
             doc, fp, n = Block(texts[a:b]).chosen()
-            yield pa.RecordBatch.from_arrays([pa.array(runs[a:b][doc]), _as_long(fp), pa.array(keys[a:b][doc]), pa.array(n.astype(np.int32))], ["run", "fp", "rk", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs[a:b][doc]), _as_long(fp), pa.array(own[a:b][doc]), pa.array(text[a:b][doc]), pa.array(n.astype(np.int32))], ["run", "fp", "_id", "_text", "n"]
+            )
+
+
+_PLACES = "fp long, _id long, _text long, n int"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) below ``path``, one folder each."""
+    """Sorted immutable runs of (fp, n) below ``path``, and of the documents before: their places
+    (fp, _id, _text, n) and texts. Opening it reads the latest manifest."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs = spark, path, []
+        self.spark, self.path, self.version = spark, path, -1
+        self.runs: list[str] = []
+        self.batches: list[str] = []
+        try:
+            stored = spark.read.parquet(f"{path}/manifest")
+        except AnalysisException:  # a new index
+            return
+        self.version = stored.agg(F.max(F.col("version").cast("int"))).first()[0]
+        for row in stored.filter(F.col("version") == self.version).orderBy("place").collect():
+            (self.runs if row.kind == "run" else self.batches).append(row.name)
+
+    def commit(self) -> None:
+        """The state as a new version of the manifest: a row for each run and batch."""
+        rows = [(k, kind, name) for k, (kind, name) in enumerate([("run", r) for r in self.runs] + [("batch", b) for b in self.batches])]
+        self.version += 1
+        self.spark.createDataFrame(rows, "place int, kind string, name string").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/version={self.version}")
 
     def _write(self, rows: DataFrame) -> str:
-        run = f"{self.path}/run-{len(self.runs):05d}-{new_path(self.spark, 'r')[-8:]}"
-        rows.sortWithinPartitions("fp").write.parquet(run)
+        run = new_name(self.spark, "run")
+        rows.sortWithinPartitions("fp").write.parquet(f"{self.path}/{run}")
         return run
 
     def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("fp long, n long").parquet(run)
-
-    def append(self, fingerprints: DataFrame) -> None:
-        """A batch's (fp, n) rows as a new run."""
-        self.runs.append(self._write(fingerprints.groupBy("fp").agg(F.sum("n").alias("n"))))
-
-    def probe(self, fingerprints: DataFrame) -> DataFrame:
-        """Rows of a batch whose fp is in an earlier run, merge-joined run by run."""
-        hits = [fingerprints.join(self._read(run).hint("merge").select("fp"), "fp", "left_semi") for run in self.runs]
-        out = hits[0] if hits else fingerprints.limit(0)
-        for more in hits[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
-
-    def counts(self) -> DataFrame:
-        """(fp, n) over all runs."""
-        rows = self._read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self._read(run))
-        return rows.groupBy("fp").agg(F.sum("n").alias("n")) if len(self.runs) > 1 else rows
+        return self.spark.read.schema("fp long, n long").parquet(f"{self.path}/{run}")
+
+    def append(self, fingerprints: DataFrame) -> DataFrame:
+        """A batch's (fp, n) rows as a new run. Gives the fps of the batch that repeat: those it holds
+        twice, and those it shares with an earlier run, merge-joined run by run. An fp may come up more than once."""
+        earlier = list(self.runs)
+        self.runs.append(self._write(fingerprints.groupBy("fp").agg(F.sum("n").cast("long").alias("n"))))
+        new = self._read(self.runs[-1])
+        out = new.filter("n > 1").select("fp")
+        for run in earlier:
+            out = out.unionByName(new.select("fp").join(self._read(run).hint("merge").select("fp"), "fp", "left_semi"))
+        return out
 
     def compact(self) -> None:
         """All runs merged into one; the old ones are no longer referred to."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self.counts())]
+            rows = self._read(self.runs[0])
+            for run in self.runs[1:]:
+                rows = rows.unionByName(self._read(run))
+            self.runs = [self._write(rows.groupBy("fp").agg(F.sum("n").alias("n")))]
+
+    def keep(self, places: DataFrame, texts: DataFrame) -> None:
+        """A batch's places and texts, for the verification of later ones."""
+        batch = new_name(self.spark, "batch")
+        places.select("fp", "_id", "_text", "n").write.parquet(f"{self.path}/{batch}/places")
+        texts.select("_id", "_text", "text").write.parquet(f"{self.path}/{batch}/texts")
+        self.batches.append(batch)
+
+    def earlier(self, kind: str, schema: str) -> list[DataFrame]:
+        return [self.spark.read.schema(schema).parquet(f"{self.path}/{b}/{kind}") for b in self.batches]
+
+
+def new_name(spark: SparkSession, name: str) -> str:
+    return new_path(spark, name).rsplit("/", 1)[1]
 
 
 def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rk, start, hashes, hot): runs of nominated windows with one fingerprint, their full hashes
-    packed; windows of hot fingerprints singly, keyed by their full hash."""
+    """(fp, _id, _text, start, hashes): runs of nominated windows with one fingerprint, their full hashes packed."""
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        keys = batch.column("rk").to_numpy()
-        cold, hot = batch.column("fps").to_pylist(), batch.column("hot").to_pylist()
+        own, text = batch.column("_id").to_numpy(), batch.column("_text").to_numpy()
+        wanted = batch.column("fps").to_pylist()
         for a, b in text_blocks(texts, BLOCK_CHARS):
             block = Block(texts[a:b])
             n = len(block.valid)
-            if not n:
-                continue
-            pick, single = np.zeros(n, bool), np.zeros(n, bool)
+            pick = np.zeros(n, bool)
             for d in range(b - a):
                 lo, hi = int(block.words.first[d]), min(int(block.words.first[d + 1]), n)
-                for wanted, out in ((cold[a + d], pick), (hot[a + d], single)):
-                    if wanted and lo < hi:
-                        out[lo:hi] = np.isin(block.least[lo:hi], np.array(wanted, np.int64).view(np.uint64))
-            pick &= block.valid
-            single &= block.valid
-            if not pick.any() and not single.any():
+                if lo < hi:
+                    pick[lo:hi] = np.isin(block.least[lo:hi], np.array(wanted[a + d], np.int64).view(np.uint64))
+            at = np.flatnonzero(pick & block.valid)
+            if not len(at):
                 continue
-            full = block.full_hashes()
-            at = np.flatnonzero(pick)
-            if len(at):
-                new = np.concatenate([[True], (np.diff(at) != 1) | (block.least[at][1:] != block.least[at][:-1]) | (block.doc[at][1:] != block.doc[at][:-1])])
-                first = np.flatnonzero(new)
-                offsets = (np.append(first, len(at)) * 8).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(full[at].tobytes())])
-                head = at[first]
-                start = head - block.words.first[block.doc[head]]
-                yield pa.RecordBatch.from_arrays([_as_long(block.least[head]), pa.array(keys[a:b][block.doc[head]]), pa.array(start.astype(np.int64)), packed, pa.array(np.zeros(len(head), bool))], ["key", "rk", "start", "hashes", "hot"])
-            at = np.flatnonzero(single)
-            if len(at):
-                offsets = (np.arange(len(at) + 1) * 8).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(block.least[at].tobytes())])
-                start = at - block.words.first[block.doc[at]]
-                yield pa.RecordBatch.from_arrays([_as_long(full[at]), pa.array(keys[a:b][block.doc[at]]), pa.array(start.astype(np.int64)), packed, pa.array(np.ones(len(at), bool))], ["key", "rk", "start", "hashes", "hot"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by fingerprint: (rk, start, n) runs of windows whose full hash another has too."""
-    held: pa.Table | None = None
-
-    def flag(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        key, rk, start = (table.column(c).to_numpy() for c in ("key", "rk", "start"))
-        packed = table.column("hashes").combine_chunks()
-        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-        size = np.array(pa.compute.binary_length(packed)) // 8
-        h = np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-        k, row = np.repeat(key, size), np.repeat(np.arange(len(key)), size)
-        order = np.lexsort((k, h))
-        same = (h[order][1:] == h[order][:-1]) & (k[order][1:] == k[order][:-1])
-        twice = np.zeros(len(h), bool)
-        twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        at = np.flatnonzero(twice)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-        new = np.concatenate([[True], (np.diff(at) != 1) | (row[at][1:] != row[at][:-1])]) if len(at) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(at))) if len(at) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rk[row[at[first]]]), pa.array(place[at[first]]), pa.array(n)], ["rk", "start", "n"])
+            least, doc = block.least[at], block.doc[at]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]))
+            head, whose = at[first], doc[first]
+            start = (head - block.words.first[whose]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [_as_long(block.least[head]), pa.array(own[a:b][whose]), pa.array(text[a:b][whose]), pa.array(start), _packed(block.full_hashes()[at], first)], ["fp", "_id", "_text", "start", "hashes"]
+            )
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, h, n): the windows of each run, those of one batch added up."""
+    for batch in batches:
+        h, row = _unpacked(batch.column("hashes"))
+        fp, n = batch.column("fp").to_numpy()[row], batch.column("n").to_numpy()[row]
+        order = np.lexsort((h, fp))
+        fp, h, n = fp[order], h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, first) if len(first) else n
+        yield pa.RecordBatch.from_arrays([pa.array(fp[first]), _as_long(h[first]), pa.array(total)], ["fp", "h", "n"])
+
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, found): rows sorted by fp packed, ``FOUND`` at most; those of one fp may be in several rows."""
     for batch in batches:
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        key = held.column("key").to_numpy()
-        if not len(key):
+        fp, h = batch.column("fp").to_numpy(), batch.column("h").to_numpy()
+        if len(fp):
+            new = np.concatenate([[True], fp[1:] != fp[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
+            first = np.flatnonzero((np.arange(len(fp)) - start) % FOUND == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[first]), _packed(h, first)], ["fp", "found"])
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, _text, start, n): runs of windows that are among the repeated ones of their fingerprint."""
+    for batch in batches:
+        h, row = _unpacked(batch.column("hashes"))
+        found, of = _unpacked(batch.column("found"))
+        if not len(h):
+            continue
+        order = np.lexsort((found, of))  # within its row, each hash is looked up by binary search
+        found, first = found[order], np.searchsorted(of, np.arange(batch.num_rows + 1))
+        lo, hi = first[row], first[row + 1]
+        end = hi
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            less = (lo < hi) & (found[np.minimum(mid, len(found) - 1)] < h)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        hit = (lo < end) & (found[np.minimum(lo, len(found) - 1)] == h)
+        at = np.flatnonzero(hit)
+        if not len(at):
             continue
-        whole = int(np.searchsorted(key, key[-1]))
-        if whole:
-            yield flag(held.slice(0, whole))
-            held = held.slice(whole)
-    if held is not None and held.num_rows:
-        yield flag(held)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (row[at][1:] != row[at][:-1])]))
+        head = at[new]
+        place = head - np.searchsorted(row, row[head])
+        own, text, start = (batch.column(c).to_numpy() for c in ("_id", "_text", "start"))
+        whose = row[head]
+        yield pa.RecordBatch.from_arrays([pa.array(own[whose]), pa.array(text[whose]), pa.array(start[whose] + place), pa.array(np.diff(np.append(new, len(at))))], ["_id", "_text", "start", "n"])
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -230,34 +279,35 @@ def _kept_rows(with_text: bool, window: int = WINDOW):
     return run
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, hot: int = HOT, with_text: bool = False, index_path: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for)."""
+def dedup(docs: DataFrame, batches: int = BATCHES, with_text: bool = False, index_path: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless asked for). The documents
+    go through the index in ``batches``; with an ``index_path`` they come after those that it has seen."""
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text).alias("rk"))
-    run = F.pmod(F.shiftright("rk", 7), F.lit(batches)).cast("int")
-    prints = rows.select("rk", "text", run.alias("run")).mapInArrow(_fingerprint_rows, "run int, fp long, rk long, n int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", *row_key(F.col("text")), "text")
+    run = F.pmod(F.shiftright(F.xxhash64("_id", "_text"), 7), F.lit(batches)).cast("int")
     path = new_path(spark, "fingerprints")
-    prints.write.partitionBy("run").parquet(path)
-    prints = spark.read.schema("fp long, rk long, n int, run int").parquet(path)
+    rows.select("_id", "_text", "text", run.alias("run")).mapInArrow(_fingerprint_rows, f"run int, {_PLACES}").write.partitionBy("run").parquet(path)
+    places = spark.read.schema(f"{_PLACES}, run int").parquet(path)
     index = FingerprintIndex(spark, index_path or new_path(spark, "fingerprint-index"))
-    for k in range(batches):
-        index.append(prints.filter(F.col("run") == k))
-    index.compact()
-    twice = index.counts().filter("n > 1").select("fp", (F.col("n") > hot).alias("is_hot"))
-    wanted = prints.select("fp", "rk").join(twice, "fp").groupBy("rk").agg(
-        F.collect_set(F.when(~F.col("is_hot"), F.col("fp"))).alias("fps"), F.collect_set(F.when(F.col("is_hot"), F.col("fp"))).alias("hot")
-    )
-    nominated = rows.join(wanted, "rk").select("rk", "doc_id", "text", "fps", "hot").mapInArrow(_nominated, "key long, rk long, start long, hashes binary, hot boolean")
+    every, texts = [places.drop("run"), *index.earlier("places", _PLACES)], [rows.drop("doc_id"), *index.earlier("texts", "_id long, _text long, text string")]
+    repeated = [index.append(places.filter(F.col("run") == k).select("fp", "n")) for k in range(batches)]
+    twice = materialise(reduce(DataFrame.unionByName, repeated).distinct(), "repeated-fingerprints")
+    wanted = reduce(DataFrame.unionByName, every).join(twice, "fp").groupBy("_id", "_text").agg(F.collect_set("fp").alias("fps"))
+    nominated = reduce(DataFrame.unionByName, texts).join(wanted, ["_id", "_text"]).mapInArrow(_nominated, "fp long, _id long, _text long, start long, hashes binary")
     nominated = materialise(nominated, "nominated")
+    alike = nominated.groupBy("fp", "hashes").agg(F.count("*").alias("n")).mapInArrow(_windows, "fp long, h long, n long")
+    again = alike.groupBy("fp", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("fp", "h")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = nominated.filter("not hot").select("key", "rk", "start", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verified, "rk long, start long, n long")
-    single = nominated.filter("hot").select("key", "hashes", "rk", "start")
-    again = single.groupBy("key", "hashes").agg(F.count("*").alias("c")).filter("c > 1").select("key", "hashes")
-    again = materialise(again, "repeated-windows")  # stored, so that the join can split a hot key
-    verified = single.join(again, ["key", "hashes"], "left_semi").select("rk", "start", F.lit(1).cast("long").alias("n"))
-    marks = cold.unionByName(verified).distinct().groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    out = rows.join(marks, "rk", "left").select("doc_id", "text", "marks")
+    found = materialise(again.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_found, "fp long, found binary"), "repeated-windows")
+    # Both sides are stored tables, so that the join can split a fingerprint with many places.
+    marks = nominated.join(found, "fp").mapInArrow(_marks, "_id long, _text long, start long, n long")
+    marks = marks.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    out = rows.join(marks, ["_id", "_text"], "left").select("doc_id", "text", "marks")
+    index.compact()
+    if index_path:
+        index.keep(places, rows)
+        index.commit()
     return out.mapInArrow(_kept_rows(with_text), _RESULT)
 
 

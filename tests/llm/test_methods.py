@@ -204,3 +204,25 @@ def test_training_rows_are_bounded(spark):
     whole = toxicity.training_rows(docs, labels).collect()
     assert len(whole) == 2001 and all(0 <= r.fold < toxicity.FOLDS for r in whole)
     assert toxicity.score(docs, toxicity.train(docs, labels)).count() == docs.count()
+
+
+def test_substrings_of_earlier_batches_go(spark, tmp_path):
+    """Batches over one index against all documents so far: what a batch loses is what occurs elsewhere
+    by then; failed calls and repeated rows leave the index right."""
+    from echograph.llm import substring_dedup
+
+    rng = random.Random(7)
+    passages = [prose(rng, 60) for _ in range(4)]
+    batch = lambda k, own: [(100 * k + i, " ".join([prose(rng, 50), *own, prose(rng, 50)])) for i in range(6)]
+    first = batch(0, passages[:1]) + [(1, prose(rng, 90)), (1, "short"), (None, passages[1])]
+    second = [*batch(1, []), (200, prose(rng, 40) + " " + passages[0] + "\n" + passages[1]), (201, passages[2]), (202, "x " + passages[2]), (None, None)]
+    third = [(300, passages[2] + " end"), (301, passages[3]), first[2], first[2], (302, "")]
+    path, before = str(tmp_path / "index"), []
+    for k, rows in enumerate((first, second, third)):
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows), index_path=path).collect())
+        every = list(brute.op5(before + rows))[len(before) :]
+        assert got == Counter((i, *v) for i, v in every)
+        before += rows
+        if k:
+            assert sum(n for _, _, n, _ in got) >= 60
+    assert substring_dedup.FingerprintIndex(spark, path).version == 2

@@ -107,24 +107,29 @@ def test_sliding():
         assert (substring_dedup._sliding(v, width, np.minimum) == np.lib.stride_tricks.sliding_window_view(v, width).min(axis=1)).all()
 
 
-def test_hot_fingerprints_take_the_other_path(spark):
+def test_a_passage_of_many_documents(spark):
     rng = random.Random(4)
     passage = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(50))
-    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    cold = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df).collect()}
-    hot = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, hot=5, batches=3).collect()}
-    assert cold == hot == {i: 50 for i in range(30)}
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for batches in (1, 3):
+        assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, batches=batches).collect()} == {i: 50 for i in range(300)}
 
 
 def test_index_runs(spark, tmp_path):
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "i"))
+    path = str(tmp_path / "i")
+    index = substring_dedup.FingerprintIndex(spark, path)
     make = lambda *v: spark.createDataFrame([(x, 1) for x in v], "fp long, n int")
-    index.append(make(1, 2, 2))
-    assert {r.fp for r in index.probe(make(2, 3)).collect()} == {2}
-    index.append(make(2, 3))
+    fps = lambda df: {r.fp for r in df.collect()}
+    assert fps(index.append(make(1, 2, 2, 9))) == {2}
+    assert fps(index.append(make(2, 3, 4, 4))) == {2, 4}
+    index.commit()
+    index = substring_dedup.FingerprintIndex(spark, path)
+    assert len(index.runs) == 2 and fps(index.append(make(3, 9, 10))) == {3, 9}
     index.compact()
-    assert len(index.runs) == 1 and {r.fp: r.n for r in index.counts().collect()} == {1: 1, 2: 3, 3: 1}
+    index.commit()
+    index = substring_dedup.FingerprintIndex(spark, path)
+    assert len(index.runs) == 1 and index.version == 1 and {r.fp: r.n for r in index._read(index.runs[0]).collect()} == {1: 1, 2: 3, 3: 2, 4: 2, 9: 2, 10: 1}
 
 
 def test_map_versions_and_growth(spark, tmp_path):
@@ -132,9 +137,9 @@ def test_map_versions_and_growth(spark, tmp_path):
     records = sharding.slot_records(docs, 256)
     totals = sharding.slot_totals(records, 256)
     path = str(tmp_path / "map")
-    sharding.save_map(sharding.initial_map(totals, 4), path)
-    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path, 0), totals, 4), path)
-    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), totals, 5), path)
+    sharding.save_map(sharding.initial_map(totals, 4), path, 0)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path, 0), totals, 4), path, 1)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), totals, 5), path, 2)
     old, new = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
     size = {r.virtual_slot: r.bytes for r in totals.collect()}
     loads = [sum(size[s] for s in new if new[s] == k) for k in range(5)]
