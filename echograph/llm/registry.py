@@ -82,13 +82,18 @@ FROM d LEFT JOIN bases USING (rid) LEFT JOIN stands USING (rid)
 """
 
 
+_IN_TEXT = "OVER (PARTITION BY rid ORDER BY i)"
 _OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
-t AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, ws FROM d),
-starts AS (SELECT rid, i, w, CASE WHEN i + {substring_dedup.WINDOW - 1} <= len(ws) THEN md5(array_to_string(list_slice(ws, i, i + {substring_dedup.WINDOW - 1}), ' ')) END AS h FROM t),
+w1 AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+w2 AS (SELECT *, md5(w) AS h1, md5(w || ' ' || lead(w) {_IN_TEXT}) AS h2 FROM w1),
+w4 AS (SELECT *, md5(h2 || lead(h2, 2) {_IN_TEXT}) AS h4 FROM w2),
+w8 AS (SELECT *, md5(h4 || lead(h4, 4) {_IN_TEXT}) AS h8 FROM w4),
+w16 AS (SELECT *, md5(h8 || lead(h8, 8) {_IN_TEXT}) AS h16 FROM w8),
+starts AS (SELECT rid, i, w, h16 || lead(h16, 16) {_IN_TEXT} || lead(h2, 32) {_IN_TEXT} || lead(h1, 34) {_IN_TEXT} AS h FROM w16),
 again AS (SELECT h FROM starts WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
 marked AS (SELECT rid, i, w, again.h IS NOT NULL AS repeats FROM starts LEFT JOIN again USING (h)),
-covered AS (SELECT rid, i, w, bool_or(repeats) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {substring_dedup.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+covered AS (SELECT rid, i, w, bool_or(repeats) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
 kept AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS body FROM covered GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
 """
