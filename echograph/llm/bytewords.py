@@ -3,7 +3,10 @@ Python object for each word. Separators are ASCII, so UTF-8 bytes can be looked
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
@@ -80,3 +83,49 @@ def window_hashes(words: np.ndarray, k: int, seed: int) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * power[:n], out=total[1:])
     return mix((total[k:] - total[:-k]) * inverse[: n - k + 1])
+
+
+def as_long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
+def pack(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binary values: the numbers from each of ``first`` up to the next."""
+    offsets = (np.append(first, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def unpack(column: pa.Array, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, row of each) of binary values."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind), np.repeat(np.arange(len(values)), [len(v) // np.dtype(kind).itemsize for v in values])
+
+
+def among(values: np.ndarray, row: np.ndarray, found: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Which values are among the found ones of their row, by binary search in all rows at once. Both
+    come ordered by row, of which there are n."""
+    found = found[np.lexsort((found, of))]
+    first = np.searchsorted(of, np.arange(n + 1))
+    lo, hi = first[row], first[row + 1]
+    end, last = hi, max(len(found) - 1, 0)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        less = (lo < hi) & (found[np.minimum(mid, last)] < values)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    return (lo < end) & (found[np.minimum(lo, last)] == values) if len(found) else np.zeros(len(values), bool)
+
+
+def pack_rows(key: str, value: str, out: str, limit: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, out): long values of rows sorted by key packed, ``limit`` at most in one; those of a key may
+    be in several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, v = batch.column(key).to_numpy(), batch.column(value).to_numpy()
+            if len(k):
+                new = np.concatenate([[True], k[1:] != k[:-1]])
+                start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+                first = np.flatnonzero((np.arange(len(k)) - start) % limit == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(k[first]), pack(v, first)], [key, out])
+
+    return run

@@ -1,227 +1,362 @@
-"""Benchmark decontamination by a positional inverted index over the training tokens.
+"""Benchmark decontamination by a distributed positional inverted index over the training tokens.
 
-The index is cut by document: each task indexes blocks of its documents, term to sorted word
-positions, for the terms of the benchmark. For every benchmark window the lists of its two rarest
-terms in the block, each moved back by the term's offset in the window, are intersected; what is
-left is verified word by word (exact phrase). Places where the two rarest terms lie within ``SLOP``
-words of where the phrase would have them, with most other words around, are proximity matches.
+The index is stored: each task cuts its documents into blocks and writes, for every block and bucket of
+terms, the sorted terms with their word positions, and the documents of the block. A search takes from
+it the postings of the benchmark's terms, by a join on buckets that is a broadcast only where Spark
+finds the term list small, and counts them over the corpus. Each benchmark window goes to the blocks
+that hold one of its ``ANCHORS`` rarest terms, by a join on terms, so what a search costs is the
+postings that it touches. There the lists of its two rarest terms, each moved back by the term's offset
+in the window, are intersected, and what is left is held against the lists of all its terms: exact
+phrases. Proximity matches are windows without an exact place in the document of which, around a place
+of one of the anchors, ``NEAR_SHARE`` of the words stand at most ``SLOP`` words before or after where
+the window would lie. The driver sees no postings, windows or items.
 
-The benchmark goes to the tasks in parts of at most ``PART_WORDS`` words, one pass over the documents
-for each part, so any size is handled. Nulls have no words; repeated item_ids count once; repeated
-documents get equal rows; empty tables give no hits or no rows. Extra columns are not read.
+Words match by 64-bit hashes, a window by those of all its words. Nulls have no words; a null item_id
+counts as an empty one; repeated item_ids count once; repeated documents get equal rows, and a null
+doc_id is told apart by its text. Ties in rarity go by the place in the window. A text longer than a
+block is a block of its own, searched whole. Empty tables give no hits or no rows. Other columns,
+whatever their names, aren't read, and ``drop_contaminated`` returns them as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm.bytewords import Words
+from echograph.llm.bytewords import Words, among, as_long, pack, pack_rows, unpack
+from echograph.llm.quality import row_key
 from echograph.llm.tokens import text_blocks
+from echograph.session import materialise, new_path
 
 WINDOW = 10
 SLOP = 5
 NEAR_SHARE = 0.8
-PART_WORDS = 2_000_000
+#: With two of ten words gone one of the three rarest is still there.
+ANCHORS = 3
 BLOCK_CHARS = 500_000
+#: Buckets of terms, by the first bits of their hashes.
+BUCKET_BITS = 10
 SEED = 9
+#: Postings of anchors that a task expands at a time.
+MOST_PLACES = 1 << 19
 
+_STORED = "bucket int, block long, terms binary, sizes binary, gaps binary, doc_ids array<long>, text_hashes array<long>, n_words array<long>"
+_NAMES = ["bucket", "block", "terms", "sizes", "gaps", "doc_ids", "text_hashes", "n_words"]
 
-class Part:
-    """Windows of some items: term numbers, where each window starts and ends, whose it is."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        words = Words([text for _, text in items], "alnum")
-        hashes = words.hashes(SEED)
-        self.vocabulary, terms = np.unique(hashes, return_inverse=True)
-        begin, length, owner = [], [], []
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            n = b - a
-            size = min(n, window)
-            for at in range(a, b - size + 1) if n else ():
-                begin.append(at)
-                length.append(size)
-                owner.append(i)
-        self.length = np.array(length, np.int64)
-        self.owner = np.array(owner, np.int64)
-        self.names = [name for name, _ in items]
-        at = np.array(begin, np.int64)[:, None] + np.minimum(np.arange(window), self.length[:, None] - 1)
-        self.terms = terms.astype(np.int32)
-        self.at = at[:, 0] if len(at) else np.zeros(0, np.int64)
-        self.window = window
-
-    def rows(self, which: np.ndarray) -> np.ndarray:
-        """Terms of windows, the last one repeated where a window is short."""
-        return self.terms[self.at[which][:, None] + np.minimum(np.arange(self.window), self.length[which][:, None] - 1)]
-
-
-def _expand(window: np.ndarray, term: np.ndarray, offset: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place) for every posting of each window's term, moved back by its offset."""
-    positions, begin = index
-    size = begin[term + 1] - begin[term]
-    at = np.arange(int(size.sum())) + np.repeat(begin[term] - np.cumsum(size) + size, size)
-    return np.repeat(window, size), positions[at] - np.repeat(offset, size)
-
-
-def match_block(texts: list[str], part: Part) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's words, (window, place) of exact matches, and (window, place) of near ones."""
-    words = Words(texts, "alnum")
-    none = np.zeros(0, np.int64)
-    n_terms, n_words = len(part.vocabulary), len(words.start)
-    if not n_terms or not n_words:
-        return words, none, none, none
-    h = words.hashes(SEED)
-    found = np.minimum(np.searchsorted(part.vocabulary, h), n_terms - 1)
-    ids = np.where(part.vocabulary[found] == h, found, -1).astype(np.int32)
-    known = np.flatnonzero(ids >= 0)
-    order = np.argsort(ids[known], kind="stable")
-    positions = known[order]
-    counts = np.bincount(ids[known], minlength=n_terms)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    exact: list[tuple[np.ndarray, np.ndarray]] = []
-    near: list[tuple[np.ndarray, np.ndarray]] = []
-    doc_of = np.searchsorted(words.first, np.arange(n_words), side="right") - 1
-    for lo in range(0, len(part.at), 100_000):
-        windows = np.arange(lo, min(lo + 100_000, len(part.at)))
-        terms = part.rows(windows)
-        weight = counts[terms]
-        live = weight.min(axis=1) > 0
-        windows, terms, weight = windows[live], terms[live], weight[live]
-        if not len(windows):
-            continue
-        length = part.length[windows]
-        masked = np.where(np.arange(part.window) < length[:, None], weight, np.iinfo(np.int64).max)
-        rarest = np.argsort(masked, axis=1, kind="stable")[:, :2]
+
+def _bucket(terms: np.ndarray) -> np.ndarray:
+    return (terms >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def _gaps(positions: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Ascending positions as differences, each list from 0."""
+    out = np.diff(positions, prepend=0)
+    out[first] = positions[first]
+    return out.astype("<u4")
+
+
+def _positions(gaps: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    total = np.cumsum(gaps, dtype=np.int64)
+    return total - np.repeat(total[first] - gaps[first], size)
+
+
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for a, b in text_blocks(texts, BLOCK_CHARS):
+            words = Words(texts[a:b], "alnum")
+            h = words.hashes(SEED)
+            order = np.argsort(h, kind="stable")
+            ranked = h[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else np.zeros(0, np.int64)
+            terms, sizes = ranked[first], np.diff(np.append(first, len(h)))
+            bucket = _bucket(terms)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(terms) else np.zeros(0, np.int64)
+            n = len(cut)
+            none = pa.nulls(n, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cut]), pa.array(np.full(n, block)), pack(terms, cut), pack(sizes.astype("<u4"), cut), pack(_gaps(order, first), first[cut]), none, none, none], _NAMES
+            )
+            one = pa.nulls(1, pa.binary())
+            held = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), v) for v in (batch.column("doc_id").slice(a, b - a), batch.column("_text").slice(a, b - a), pa.array(np.diff(words.first)))]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block]), one, one, one, *held], _NAMES)
+            block += 1
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Store the postings of all words of ``docs`` (doc_id, text) below ``path``. No shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text"))[1], F.coalesce("text", F.lit("")).alias("text"))
+    rows.mapInArrow(_index_rows, _STORED).write.option("compression", "zstd").parquet(path)
+
+
+def _window_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, texts = batch.column("item_id"), batch.column("text").to_pylist()
+            for a, b in text_blocks(texts, BLOCK_CHARS):
+                words = Words(texts[a:b], "alnum")
+                h, n = words.hashes(SEED), np.diff(words.first)
+                count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+                item = np.repeat(np.arange(b - a), count)
+                start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + words.first[item]
+                size = np.minimum(window, n[item])
+                first = np.cumsum(size) - size
+                terms = h[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+                yield pa.RecordBatch.from_arrays([items.slice(a, b - a).take(pa.array(item)), pack(terms, first)], ["item_id", "terms"])
+
+    return run
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, terms, window): every window of every item, as the hashes of its words; window is a
+    hash of these."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_window_rows(window), "item_id string, terms binary").distinct().withColumn("window", F.xxhash64("terms"))
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, term, window, place) of each word of each window."""
+    for batch in batches:
+        terms, row = unpack(batch.column("terms"))
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        yield pa.RecordBatch.from_arrays([pa.array(_bucket(terms)), as_long(terms), pa.array(batch.column("window").to_numpy()[row]), pa.array(place.astype(np.int32))], ["bucket", "term", "window", "place"])
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, block, n, gaps) of the wanted terms of each stored row."""
+    for batch in batches:
+        terms, row = unpack(batch.column("terms"))
+        sizes, _ = unpack(batch.column("sizes"), np.uint32)
+        gaps, _ = unpack(batch.column("gaps"), np.uint32)
+        wanted, of = unpack(batch.column("wanted"))
+        pick = np.flatnonzero(among(terms, row, wanted, of, batch.num_rows))
+        size = sizes[pick].astype(np.int64)
+        start = (np.cumsum(sizes, dtype=np.int64) - sizes)[pick]
+        first = np.cumsum(size) - size
+        own = gaps[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+        yield pa.RecordBatch.from_arrays([as_long(terms[pick]), pa.array(batch.column("block").to_numpy()[row[pick]]), pa.array(size), pack(own, first)], ["term", "block", "n", "gaps"])
+
+
+class Block:
+    """A block's postings of the benchmark's terms and its documents, as the search wants them."""
+
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, gaps: np.ndarray, n_words: np.ndarray):
+        order = np.argsort(terms)
+        begin = np.cumsum(sizes) - sizes
+        positions = _positions(gaps, begin, sizes) if len(gaps) else np.zeros(0, np.int64)
+        size = sizes[order]
+        self.terms, self.begin = terms[order], np.concatenate([[0], np.cumsum(size)])
+        self.positions = positions[np.repeat(begin[order] - self.begin[:-1], size) + np.arange(int(size.sum()))]
+        self.counts = size
+        self.first = np.concatenate([[0], np.cumsum(n_words)])
+        self.total = int(self.first[-1])
+        self.ids = np.full(self.total, -1, np.int64)
+        self.ids[self.positions] = np.repeat(np.arange(len(size)), size)
+        self.doc = np.repeat(np.arange(len(n_words)), n_words)
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.full(terms.shape, -1, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def places(self, row: np.ndarray, term: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) for every posting of each row's term, moved back by its offset."""
+        size = self.counts[term]
+        at = np.arange(int(size.sum())) + np.repeat(self.begin[term] - np.cumsum(size) + size, size)
+        return np.repeat(row, size), self.positions[at] - np.repeat(offset, size)
+
+    def exact(self, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) where all words of a window stand in order, in one document. ids: (rows, window),
+        -1 where a word isn't in the block or the window has ended."""
+        width = ids.shape[1]
+        inside = np.arange(width) < length[:, None]
+        live = np.flatnonzero((np.where(inside, ids, 0) >= 0).all(axis=1))
+        none = np.zeros(0, np.int64)
+        if not len(live):
+            return none, none
+        ids, length, inside = ids[live], length[live], inside[live]
+        weight = np.where(inside, self.counts[ids], np.iinfo(np.int64).max)
+        rarest = np.argsort(weight, axis=1, kind="stable")[:, :2]
         rarest[:, 1] = np.where(length > 1, rarest[:, 1], rarest[:, 0])
-        row = np.arange(len(windows))
-        keys = []
+        row, span = np.arange(len(live)), self.total + 2 * width
+        lists = []
         for k in (0, 1):
-            w, place = _expand(row, terms[row, rarest[:, k]], rarest[:, k], (positions, begin))
-            keys.append(np.sort(w * (n_words + 2 * WINDOW) + place + WINDOW))
-        both = np.intersect1d(*keys, assume_unique=True)
-        sure = np.zeros(0, np.int64)
-        for key, out in ((both, exact), (keys[0], near)):
-            if out is near:  # places that are exact matches are no near ones
-                key = np.setdiff1d(key, sure, assume_unique=True)
-            w, place = key // (n_words + 2 * WINDOW), key % (n_words + 2 * WINDOW) - WINDOW
-            if out is near:  # another posting of the second term within SLOP
-                at = np.searchsorted(keys[1], key - SLOP)
-                close = (at < len(keys[1])) & (keys[1][np.minimum(at, len(keys[1]) - 1)] <= key + SLOP)
-                w, place = w[close], place[close]
-            fits = (place >= 0) & (place + length[w] <= n_words)
-            w, place = w[fits], place[fits]
-            same = doc_of[place] == doc_of[place + length[w] - 1]
-            w, place = w[same], place[same]
-            for a in range(0, len(w), 200_000):
-                ww, pp = w[a : a + 200_000], place[a : a + 200_000]
-                step = np.minimum(np.arange(part.window), length[ww][:, None] - 1)
-                if out is exact:
-                    good = (ids[pp[:, None] + step] == terms[ww]).all(axis=1)
-                else:
-                    around = np.clip(pp[:, None] + np.arange(-SLOP, part.window + SLOP), 0, n_words - 1)
-                    held = np.zeros(len(ww))
-                    for k in range(part.window):
-                        held += ((ids[around] == terms[ww][:, k, None]) & (doc_of[around] == doc_of[pp][:, None])).any(axis=1)
-                    good = held >= NEAR_SHARE * part.window
-                out.append((windows[ww[good]], pp[good]))
-                if out is exact:
-                    sure = np.union1d(sure, ww[good] * (n_words + 2 * WINDOW) + pp[good] + WINDOW)
-    join = lambda pairs, k: np.concatenate([p[k] for p in pairs]) if pairs else none
-    return words, np.stack([join(exact, 0), join(exact, 1)]), np.stack([join(near, 0), join(near, 1)]), none
+            w, place = self.places(row, ids[row, rarest[:, k]], rarest[:, k])
+            lists.append(np.sort(w * span + place + width))
+        key = np.intersect1d(*lists, assume_unique=True)
+        w, place = key // span, key % span - width
+        fits = (place >= 0) & (place + length[w] <= self.total)
+        w, place = w[fits], place[fits]
+        good = self.doc[place] == self.doc[place + length[w] - 1] if len(w) else fits[fits]
+        for k in range(width):
+            good &= (k >= length[w]) | (self.ids[np.minimum(place + k, self.total - 1)] == ids[w, k])
+        return live[w[good]], place[good]
 
+    def near(self, ids: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, document) where most words of a whole window stand around a place of an anchor."""
+        width = ids.shape[1]
+        row, k = np.nonzero(anchors & (ids >= 0))
+        w, place = self.places(row, ids[row, k], k)
+        offset = np.repeat(k, self.counts[ids[row, k]])
+        order = np.argsort(np.where(ids >= 0, self.counts[ids], -1), axis=1, kind="stable")  # absent words come first
+        missed, allowed = np.zeros(len(w), np.int64), width - int(np.ceil(NEAR_SHARE * width))
+        doc = self.doc[place + offset]
+        lo, hi = np.maximum(place - SLOP, self.first[doc]), np.minimum(place + width + SLOP, self.first[doc + 1])
+        for step in range(width):
+            term = ids[w, order[w, step]]
+            held = np.zeros(len(w), bool)
+            for at in range(-SLOP, width + SLOP):
+                p = place + at
+                held |= (p >= lo) & (p < hi) & (self.ids[np.clip(p, 0, self.total - 1)] == term)
+            missed += ~held | (term < 0)
+            keep = missed <= allowed
+            w, place, lo, hi, doc, missed = w[keep], place[keep], lo[keep], hi[keep], doc[keep], missed[keep]
+        return w, doc
 
-_CARRIED = "doc_id long, text string, hits binary, items array<string>, n_near long"
-_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
 
+_FOUND = "block long, place int, doc_id long, text_hash long, n_words long, n_hit long, found array<bigint>, n_near long"
+
+
+def _match(window: int):
+    """Rows sorted by block: its postings (kind 0), its documents (1), then windows to search for (2)."""
 
-def _pass_rows(part: Part, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+
+        def start(number: int) -> None:
+            state.update(number=number, terms=[], sizes=[], gaps=[], docs=None, block=None, edge=None, exact=[], close=[])
+
+        def look_for(rows: pa.RecordBatch) -> None:
+            if state["block"] is None:
+                join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+                state["block"] = Block(join(state["terms"], np.uint64), join(state["sizes"], np.int64), join(state["gaps"], np.uint32), state["docs"][2])
+                state["edge"] = np.zeros(state["block"].total + 1, np.int64)
+            block, number = state["block"], rows.column("window").to_numpy()
+            terms, row = unpack(rows.column("terms"))
+            length = np.bincount(row, minlength=rows.num_rows)
+            ids = np.full((rows.num_rows, window), -1, np.int64)
+            ids[row, np.arange(len(row)) - np.searchsorted(row, row)] = block.numbers(terms)
+            anchors = ((rows.column("anchors").to_numpy()[:, None] >> np.arange(window)) & 1 == 1) & (ids >= 0)
+            # The anchors' postings bound what an intersection holds: so many rows at a time.
+            load = np.cumsum(np.where(anchors, block.counts[ids] if len(block.counts) else 0, 0).sum(axis=1)) // MOST_PLACES
+            cuts = np.flatnonzero(np.diff(load)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                w, place = block.exact(ids[a:b], length[a:b])
+                np.add.at(state["edge"], place, 1)
+                np.add.at(state["edge"], place + length[a:b][w], -1)
+                state["exact"].append(np.stack([block.doc[place], number[a:b][w]]))
+                w, doc = block.near(ids[a:b], anchors[a:b] & (length[a:b] == window)[:, None])
+                state["close"].append(np.stack([doc, number[a:b][w]]))
+
+        def finish() -> pa.RecordBatch:
+            doc_ids, hashes, n_words = state["docs"]
+            n = len(n_words)
+            pairs = lambda parts: np.unique(np.concatenate(parts, axis=1), axis=1) if parts else np.zeros((2, 0), np.int64)
+            exact, close = pairs(state["exact"]), pairs(state["close"])
+            n_hit = np.zeros(n, np.int64)
+            n_near = np.zeros(n, np.int64)
+            if exact.size or close.size:
+                first = state["block"].first
+                total = np.concatenate([[0], np.cumsum(np.cumsum(state["edge"][:-1]) > 0)])
+                n_hit = total[first[1:]] - total[first[:-1]]
+                sure = set(zip(*exact.tolist()))
+                only = [d for d, w in zip(*close.tolist()) if (d, w) not in sure]
+                n_near = np.bincount(only, minlength=n) if only else n_near
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(exact[0], np.arange(n + 1)).astype(np.int32)), pa.array(exact[1]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, state["number"])), pa.array(np.arange(n, dtype=np.int32)), doc_ids, hashes, pa.array(n_words), pa.array(n_hit), found, pa.array(n_near)],
+                ["block", "place", "doc_id", "text_hash", "n_words", "n_hit", "found", "n_near"],
+            )
+
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            carried = "hits" in batch.schema.names
-            for a, b in text_blocks(texts, BLOCK_CHARS):
-                words, exact, near, _ = match_block(texts[a:b], part)
-                first = words.first
-                n = b - a
-                edge = np.zeros(len(words.start) + 1, np.int64)
-                if exact.size:
-                    np.add.at(edge, exact[1], 1)
-                    np.add.at(edge, exact[1] + part.length[exact[0]], -1)
-                hit = np.cumsum(edge[:-1]) > 0
-                items: list[set[str]] = [set() for _ in range(n)]
-                if exact.size:
-                    doc = np.searchsorted(first, exact[1], side="right") - 1
-                    pairs = np.unique(np.stack([doc, part.owner[exact[0]]]), axis=1)
-                    for d, i in pairs.T.tolist():
-                        items[d].add(part.names[i])
-                n_near = np.zeros(n, np.int64)
-                if near.size:
-                    np.add.at(n_near, np.searchsorted(first, near[1], side="right") - 1, 1)
-                if carried:
-                    for d, (bits, names, more) in enumerate(zip(*(batch.column(c).slice(a, n).to_pylist() for c in ("hits", "items", "n_near")))):
-                        size = int(first[d + 1] - first[d])
-                        hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
-                        items[d].update(names)
-                        n_near[d] += more
-                doc_ids = batch.column("doc_id").slice(a, n)
-                if not last:
-                    bits = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in range(n)]
-                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(texts[a:b]), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(n_near)], ["doc_id", "text", "hits", "items", "n_near"])
+            numbers, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
                     continue
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[first[1:]] - total[first[:-1]]
-                sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(n_near)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
-                )
+                part = batch.slice(a, b - a)
+                if state.get("number") != numbers[a]:
+                    if state:
+                        yield finish()
+                    start(int(numbers[a]))
+                if kinds[a] == 0:
+                    state["terms"].append(part.column("term").to_numpy().view(np.uint64))
+                    state["sizes"].append(part.column("n").to_numpy())
+                    state["gaps"].append(unpack(part.column("gaps"), np.uint32)[0])
+                elif kinds[a] == 1:
+                    state["docs"] = [part.column(c)[0].values for c in ("doc_ids", "text_hashes")] + [part.column("n_words")[0].values.to_numpy()]
+                else:
+                    look_for(part)
+        if state:
+            yield finish()
 
     return run
 
 
-def _parts(benchmark: DataFrame, part_words: int, window: int) -> Iterator[Part]:
-    """Items in parts of a bounded number of words; the driver holds one part at a time."""
-    rows, size = [], 0
-    source = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in source.toLocalIterator():
-        rows.append((row.item_id, row.text))
-        size += row.text.count(" ") + 1
-        if size >= part_words:
-            yield Part(rows, window)
-            rows, size = [], 0
-    yield Part(rows, window)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near. No shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = list(_parts(benchmark, part_words, window))
-    for part in parts[:-1]:
-        rows = rows.mapInArrow(_pass_rows(part, False), _CARRIED)
-    return rows.mapInArrow(_pass_rows(parts[-1], True), _RESULT)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The rows of ``docs``, all their columns, that hold no benchmark window. No shuffle."""
-    for part in list(_parts(benchmark, part_words, window)):
-
-        def run(batches: Iterator[pa.RecordBatch], part: Part = part) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for a, b in text_blocks(texts, BLOCK_CHARS):
-                    words, exact, _, _ = match_block(texts[a:b], part)
-                    clean = np.ones(b - a, bool)
-                    if exact.size:
-                        clean[np.searchsorted(words.first, exact[1], side="right") - 1] = False
-                    yield batch.slice(a, b - a).filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def search(spark: SparkSession, path: str, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document of the index below ``path``: block, place, doc_id, text_hash, n_words, n_hit, items
+    (the ids of items with exact windows there) and n_near."""
+    wanted = materialise(windows(benchmark, window), "benchmark-windows")
+    stored = spark.read.schema(_STORED).parquet(path)
+    distinct = wanted.select("window", "terms").distinct()
+    words = materialise(distinct.mapInArrow(_term_rows, "bucket int, term long, window long, place int"), "benchmark-terms")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = words.select("bucket", "term").distinct().repartition(n, "bucket").sortWithinPartitions("bucket", "term").mapInArrow(pack_rows("bucket", "term", "wanted"), "bucket int, wanted binary")
+    held = stored.filter("bucket >= 0").select("bucket", "block", "terms", "sizes", "gaps").join(lists, "bucket").drop("bucket")
+    postings = materialise(held.mapInArrow(_taken, "term long, block long, n long, gaps binary"), "benchmark-postings")
+    counts = postings.groupBy("term").agg(F.sum("n").alias("count"))
+    ranked = words.join(counts, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("count", "place", "term"))).alias("ranked"), F.count("*").alias("known"))
+    size = F.octet_length("terms") / 8
+    # Of a shorter window, or one that has too few words in the corpus, only whole matches are sought.
+    enough = F.when(size == window, F.ceil(F.lit(NEAR_SHARE) * window)).otherwise(size)
+    chosen = ranked.join(distinct, "window").filter(F.col("known") >= enough)
+    chosen = chosen.withColumn("ranked", F.slice("ranked", 1, F.when(size == window, F.lit(ANCHORS)).otherwise(F.lit(1))))
+    bits = F.aggregate("ranked", F.lit(0), lambda a, x: a + F.pow(F.lit(2), x["place"]).cast("int"))
+    chosen = materialise(chosen.select("window", "terms", bits.alias("anchors"), F.col("ranked.term").alias("rare")), "benchmark-anchors")
+    sought = chosen.select("window", F.explode("rare").alias("term")).join(postings.select("term", "block"), "term").select("window", "block").distinct()
+    sought = materialise(sought, "benchmark-blocks")
+    touched = postings.join(sought.select("block").distinct(), "block", "left_semi")
+    empty = {"kind": "int", "term": "long", "n": "long", "gaps": "binary", "window": "long", "terms": "binary", "anchors": "int", "doc_ids": "array<long>", "text_hashes": "array<long>", "n_words": "array<long>"}
+
+    def row(df: DataFrame, kind: int, *columns: str) -> DataFrame:
+        value = lambda c: F.lit(kind) if c == "kind" else F.col(c) if c in columns else F.lit(None).cast(empty[c])
+        return df.select("block", *[value(c).alias(c) for c in empty])
+
+    rows = row(touched, 0, "term", "n", "gaps").unionByName(row(stored.filter("bucket = -1"), 1, "doc_ids", "text_hashes", "n_words"))
+    rows = rows.unionByName(row(sought.join(chosen, "window"), 2, "window", "terms", "anchors"))
+    found = materialise(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_match(window), _FOUND), "benchmark-found")
+    hit = found.filter("size(found) > 0").select("block", "place", F.explode("found").alias("window"))
+    items = hit.join(wanted.select("window", "item_id"), "window").groupBy("block", "place").agg(F.collect_set("item_id").alias("items"))
+    return found.drop("found").join(items, ["block", "place"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near. Texts don't shuffle."""
+    spark = docs.sparkSession
+    path = new_path(spark, "positional-index")
+    write_index(docs, path)
+    names: Column = F.array_join(F.array_sort("items"), ",")
+    return search(spark, path, benchmark, window).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all their columns, that hold no benchmark window."""
+    spark = docs.sparkSession
+    path = new_path(spark, "positional-index")
+    write_index(docs, path)
+    key = row_key(F.lit(None))[0]
+    bad = search(spark, path, benchmark, window).filter("n_hit > 0").select(key.alias("b_id"), F.col("text_hash").alias("b_text")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("text")))
+    return rows.join(bad, (rows["_id"] == bad["b_id"]) & (rows["_text"] == bad["b_text"]), "left_anti").select("row.*")
 
 
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

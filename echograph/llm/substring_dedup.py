@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm.bytewords import Words, window_hashes
+from echograph.llm.bytewords import Words, among, as_long, pack, pack_rows, unpack, window_hashes
 from echograph.llm.quality import row_key
 from echograph.llm.tokens import text_blocks
 from echograph.session import materialise, new_path
@@ -38,8 +38,6 @@ WINDOW = 35
 GRAM = 8
 BATCHES = 2
 BLOCK_CHARS = 500_000
-#: Repeated windows of one fingerprint that a row holds.
-FOUND = 4096
 _SEED = 5
 
 
@@ -84,22 +82,6 @@ class Block:
         return window_hashes(self.words.hashes(_SEED + 2), self.window, _SEED + 3)
 
 
-def _as_long(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).view(np.int64))
-
-
-def _packed(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Binary values: the hashes from each of ``first`` up to the next."""
-    offsets = (np.append(first, len(hashes)) * 8).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
-
-
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, row of each) of binary values."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint64), np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
-
-
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -107,7 +89,7 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for a, b in text_blocks(texts, BLOCK_CHARS):
             doc, fp, n = Block(texts[a:b]).chosen()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[a:b][doc]), _as_long(fp), pa.array(own[a:b][doc]), pa.array(text[a:b][doc]), pa.array(n.astype(np.int32))], ["run", "fp", "_id", "_text", "n"]
+                [pa.array(runs[a:b][doc]), as_long(fp), pa.array(own[a:b][doc]), pa.array(text[a:b][doc]), pa.array(n.astype(np.int32))], ["run", "fp", "_id", "_text", "n"]
             )
 
 
@@ -200,49 +182,30 @@ def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, whose = at[first], doc[first]
             start = (head - block.words.first[whose]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [_as_long(block.least[head]), pa.array(own[a:b][whose]), pa.array(text[a:b][whose]), pa.array(start), _packed(block.full_hashes()[at], first)], ["fp", "_id", "_text", "start", "hashes"]
+                [as_long(block.least[head]), pa.array(own[a:b][whose]), pa.array(text[a:b][whose]), pa.array(start), pack(block.full_hashes()[at], first)], ["fp", "_id", "_text", "start", "hashes"]
             )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, h, n): the windows of each run, those of one batch added up."""
     for batch in batches:
-        h, row = _unpacked(batch.column("hashes"))
+        h, row = unpack(batch.column("hashes"))
         fp, n = batch.column("fp").to_numpy()[row], batch.column("n").to_numpy()[row]
         order = np.lexsort((h, fp))
         fp, h, n = fp[order], h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
         total = np.add.reduceat(n, first) if len(first) else n
-        yield pa.RecordBatch.from_arrays([pa.array(fp[first]), _as_long(h[first]), pa.array(total)], ["fp", "h", "n"])
-
-
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, found): rows sorted by fp packed, ``FOUND`` at most; those of one fp may be in several rows."""
-    for batch in batches:
-        fp, h = batch.column("fp").to_numpy(), batch.column("h").to_numpy()
-        if len(fp):
-            new = np.concatenate([[True], fp[1:] != fp[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
-            first = np.flatnonzero((np.arange(len(fp)) - start) % FOUND == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[first]), _packed(h, first)], ["fp", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[first]), as_long(h[first]), pa.array(total)], ["fp", "h", "n"])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_id, _text, start, n): runs of windows that are among the repeated ones of their fingerprint."""
     for batch in batches:
-        h, row = _unpacked(batch.column("hashes"))
-        found, of = _unpacked(batch.column("found"))
+        h, row = unpack(batch.column("hashes"))
+        found, of = unpack(batch.column("found"))
         if not len(h):
             continue
-        order = np.lexsort((found, of))  # within its row, each hash is looked up by binary search
-        found, first = found[order], np.searchsorted(of, np.arange(batch.num_rows + 1))
-        lo, hi = first[row], first[row + 1]
-        end = hi
-        while (lo < hi).any():
-            mid = (lo + hi) // 2
-            less = (lo < hi) & (found[np.minimum(mid, len(found) - 1)] < h)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-        hit = (lo < end) & (found[np.minimum(lo, len(found) - 1)] == h)
+        hit = among(h, row, found, of, batch.num_rows)
         at = np.flatnonzero(hit)
         if not len(at):
             continue
@@ -299,7 +262,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, with_text: bool = False, inde
     alike = nominated.groupBy("fp", "hashes").agg(F.count("*").alias("n")).mapInArrow(_windows, "fp long, h long, n long")
     again = alike.groupBy("fp", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("fp", "h")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(again.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(_found, "fp long, found binary"), "repeated-windows")
+    found = materialise(again.repartition(n, "fp").sortWithinPartitions("fp").mapInArrow(pack_rows("fp", "h", "found"), "fp long, found binary"), "repeated-windows")
     # Both sides are stored tables, so that the join can split a fingerprint with many places.
     marks = nominated.join(found, "fp").mapInArrow(_marks, "_id long, _text long, start long, n long")
     marks = marks.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "n")).alias("marks"))

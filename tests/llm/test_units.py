@@ -1,13 +1,16 @@
 """Parts of the operators by themselves."""
 
+import os
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from echograph.llm import decontam, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup, token_output, toxicity
 from echograph.llm.bytewords import Words, window_hashes
 
@@ -193,12 +196,41 @@ def test_licences_of_one_file_keep_their_own_rare_words(spark):
     assert got[1] == "bsd,cc-by,mit,mpl" and got[10] == "bsd" and got[11] == "cc-by" and got[12] == "mpl" and got[100] == ""
 
 
-def test_benchmark_in_parts(spark):
-    docs = spark.createDataFrame([(1, "x " + " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2"), (3, None), (4, "a0 a1 zz a2 a3 a4 a5 a6 a7 a8 a9")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(12))), (2, "b0 b1 b2")], "item_id long, text string")
-    whole, parts = ([tuple(r) for r in decontam.contamination(docs, bench, part_words=n).orderBy("doc_id").collect()] for n in (10**6, 1))
-    assert whole == parts
-    assert [r[2] for r in whole] == [12, 3, 0, 0] and whole[3][6] > 0
+def test_benchmark_of_many_items(spark, monkeypatch):
+    """100,000 items against few documents: the same hits as a plain search, however the work is cut."""
+    import brute
+
+    rng = random.Random(3)
+    word = lambda: f"w{int(200_000 * rng.random() ** 3)}"
+    bench = [(f"i{k}", " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 12, 14])))) for k in range(100_000)]
+    docs = [(k, " ".join([*(word() for _ in range(40)), bench[rng.randrange(100_000)][1], *(word() for _ in range(40))])) for k in range(150)]
+    frame = lambda part: spark.createDataFrame(docs, "doc_id long, text string").repartition(part)
+    items = spark.createDataFrame(bench, "item_id string, text string").repartition(5)
+    got = [tuple(r) for r in decontam.contamination(frame(3), items).orderBy("doc_id").collect()]
+    assert [r[:6] for r in got] == [(i, *v) for i, v in brute.op9(docs, bench)]
+    monkeypatch.setattr(decontam, "MOST_PLACES", 5000)
+    assert got == [tuple(r) for r in decontam.contamination(frame(9), items).orderBy("doc_id").collect()]
+
+
+def test_proximity_by_definition(spark):
+    rng = random.Random(5)
+    item = [f"a{k}" for k in range(12)]
+    texts = [" ".join(item), "b0 b1 b2", None, "a0 a1 zz a2 a3 a4 a5 a6 a7 a8 a9", " ".join(item[:3] + ["x"] + item[4:7] + ["y"] + item[8:]), " ".join(reversed(item)), " ".join(item) + " q " + " ".join(item[1:10])]
+    texts += [" ".join(rng.choice(item + ["p", "q"]) for _ in range(60)) for _ in range(30)]
+    docs, bench = list(enumerate(texts)), [(1, " ".join(item)), (2, "b0 b1 b2"), (3, "never seen words that no document has at all ten")]
+    got = {r.doc_id: r.n_near for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    words = [(t or "").split() for t in texts]
+    count = {w: sum(ws.count(w) for ws in words) for ws in words for w in ws}
+    for (i, _), ws in zip(docs, words):
+        n = 0
+        for a in range(3):
+            win = item[a : a + 10]
+            if any(ws[p : p + 10] == win for p in range(len(ws))):
+                continue
+            rare = sorted((count[w], k) for k, w in enumerate(win) if w in count)[:3]
+            spans = [set(ws[max(0, q - k - 5) : max(0, q - k + 15)]) for _, k in rare for q, w in enumerate(ws) if w == win[k]]
+            n += any(sum(w in s for w in win) >= 8 for s in spans)
+        assert got[i] == n, i
 
 
 def test_packing_prefers_neighbours():
