@@ -37,7 +37,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 512
 SHARD_CHARS = 4_000_000
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 K1, B = 1.2, 0.75
 #: MinHashes in the order's key: each one parts documents that share those before it.
 ROUTES = 3
@@ -57,34 +57,41 @@ class Lexicon:
         for token, i in vocabulary.items():
             self.starts[i] = ord(token[0]) in _SPACES or token[0].isascii() and not token[0].isalnum()
         self.starts[end_id] = True
-        self.draw = np.random.default_rng(SEED).integers(0, 2**63, n, np.int64).view(np.uint64)
+        rng = np.random.default_rng(SEED)
+        self.draw = rng.integers(0, 2**63, n, np.int64).view(np.uint64)
+        self.turn = rng.integers(0, 2**63, 64, np.int64).view(np.uint64) | np.uint64(1)
 
     def words(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, document, tokens) of each word of the documents that begin at ``first``."""
         starts = self.starts[ids]
         starts[first] = True
-        at = np.flatnonzero(starts)
-        size = np.diff(np.append(at, len(ids)))
-        place = np.arange(len(ids)) - np.repeat(at, size)
-        h = mix(np.add.reduceat(mix(self.draw[ids] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
-        return h, np.searchsorted(first, at, side="right") - 1, size
+        at = np.flatnonzero(starts).astype(np.int32)
+        size = np.diff(np.append(at, np.int32(len(ids))))
+        place = np.arange(len(ids), dtype=np.int32) - np.repeat(at, size)
+        h = mix(np.add.reduceat(self.draw[ids] * self.turn[place & 63], at))
+        return h, np.repeat(np.arange(len(first)), np.diff(np.searchsorted(at, np.append(first, len(ids))))), size
 
 
 #: Letters that byte-level vocabularies have for space and newline.
 _SPACES = {0x100 + 0x20, 0x100 + 0x0A}
 
 
-def distinct_words(h: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, count, tokens) of each document's distinct words. Hashes give up their low bits
-    to the document's number in the block, which has at most 2^20."""
-    bits = max(1, int(n - 1).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    keys = (h & ~low) | doc.astype(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
+_HASH, _DOC, _SIZE = 40, 20, 4  # bits of a key: a word's hash, a document of a block, tokens up to 15
+
+
+def distinct_words(h: np.ndarray, doc: np.ndarray, size: np.ndarray, by_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, count, tokens) of each document's distinct words, by document or by word. The
+    hashes keep 40 bits; sorted keys hold all there is to know, which spares an index sort."""
+    h, doc, size = h >> np.uint64(64 - _HASH), doc.astype(np.uint64), np.minimum(size, 15).astype(np.uint64)
+    keys = doc << np.uint64(_HASH + _SIZE) | h << np.uint64(_SIZE) if by_doc else h << np.uint64(_DOC + _SIZE) | doc << np.uint64(_SIZE)
+    keys = np.sort(keys | size)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     tf = np.diff(np.append(new, len(keys)))
-    return keys[new] & ~low, (keys[new] & low).astype(np.int64), tf, size[order[new]]
+    keys = keys[new]
+    low = lambda k, bits: k & np.uint64((1 << bits) - 1)
+    h = low(keys >> np.uint64(_SIZE), _HASH) if by_doc else keys >> np.uint64(_DOC + _SIZE)
+    doc = keys >> np.uint64(_HASH + _SIZE) if by_doc else low(keys >> np.uint64(_SIZE), _DOC)
+    return h << np.uint64(64 - _HASH), doc.astype(np.int64), tf, low(keys, _SIZE).astype(np.int64)
 
 
 def _idf(n: int, df: np.ndarray) -> np.ndarray:
@@ -111,7 +118,7 @@ class ShardIndex:
         ids = np.concatenate(docs) if n else np.zeros(0, np.uint32)
         h, doc, size = lexicon.words(ids, np.cumsum(lengths) - lengths) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         length = np.bincount(doc, minlength=n)
-        h, doc, tf, _ = distinct_words(h, doc, size, max(n, 1))
+        h, doc, tf, _ = distinct_words(h, doc, size, False)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         df = np.diff(np.append(first, len(h)))
         idf = corpus.idf[bucket(h[first])] if corpus else _idf(n, df)
@@ -193,10 +200,9 @@ _ENCODED = ", ".join(["doc_id long", "tokens binary", *(f"{c} long" for c in _RO
 
 
 def _routes(h: np.ndarray, doc: np.ndarray, tokens: np.ndarray, n: int) -> list[np.ndarray]:
-    """The word with the least exponential draw, by weight, of each document: its hash, three times over."""
-    order = np.argsort(doc.astype(np.uint16) if n < 1 << 16 else doc, kind="stable")
-    h, doc, weight = h[order], doc[order], (tokens[order] - 1).astype(np.float64)
-    first, out = np.searchsorted(doc, np.arange(n)), []
+    """The word with the least exponential draw, by weight, of each document: its hash, three times over.
+    The words come ordered by document."""
+    weight, first, out = (tokens - 1).astype(np.float64), np.searchsorted(doc, np.arange(n)), []
     for k in range(ROUTES):
         luck = -np.log(((mix(h + np.uint64(k)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
         cost = np.divide(luck, weight, out=np.full(len(h), np.inf), where=weight > 0)
@@ -221,7 +227,7 @@ def _token_rows(path: str, end_id: int, cached_units: int):
                 size = np.array([len(t) // 4 for t in parts])
                 h, doc, tokens = lexicon.words(np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size)
                 total, docs = total + len(h), docs + n
-                h, doc, _, tokens = distinct_words(h, doc, tokens, n)
+                h, doc, _, tokens = distinct_words(h, doc, tokens, True)
                 df += np.bincount(bucket(h), minlength=BUCKETS)
                 stored = pa.array([store(t) for t in parts], pa.binary())
                 empty = pa.nulls(n, pa.binary())
