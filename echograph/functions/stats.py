@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echograph.functions import ordering
+
 
 def upper_median(col: Column) -> Column:
     """The element at n // 2 of the sorted values: the upper middle of an even number. The values of a
@@ -16,26 +18,44 @@ def upper_median(col: Column) -> Column:
 
 
 def upper_median_by_rank(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """The same by sorted rank, without an array of the group."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(col).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(col))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(col).alias("upper_median"))
-
-
-def ranks(df: DataFrame, col: str, ties: str = "average", tie_break: list[str] | None = None, by: list[str] | None = None) -> Column:
-    """Rank of col: ``average`` over ties, or ``ordinal`` with ties cut by ``tie_break``."""
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    if ties == "ordinal":
-        return F.row_number().over(w.orderBy(col, *(tie_break or []))).cast("double")
-    same = Window.partitionBy(*(by or [F.lit(1)]), col)
-    return F.rank().over(w.orderBy(col)) + (F.count("*").over(same) - 1) / 2
+    """The same by place in a distributed order, without an array or a task of the group."""
+    return ordering.middle(df, by, col)
 
 
 def spearman(df: DataFrame, x: str, y: str, ties: str = "average", tie_break: list[str] | None = None) -> DataFrame:
-    """(rho, n, p): correlation of ranks, p by the t approximation's normal limit."""
+    """(rho, n, p): correlation of ranks; p two-sided, by the t approximation, null under three rows."""
     r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = r.select(ranks(r, x, ties, tie_break).alias("rx"), ranks(r, y, ties, tie_break).alias("ry"))
-    return r.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    r = ordering.ranked(ordering.ranked(r, x, "_rx", ties, tie_break=tie_break), y, "_ry", ties, tie_break=tie_break)
+    out = r.agg(F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias("rho"), F.count("*").alias("n"))
+    rows = [(q.rho, q.n, t_test_p(q.rho, q.n)) for q in out.collect()]  # one row
+    return df.sparkSession.createDataFrame(rows, "rho double, n long, p double")
+
+
+def t_test_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation over n pairs, by Student's t with n - 2 degrees of freedom."""
+    if r is None or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else beta_share((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or tiny)
+    h = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * h
 
 
 def normal_p(z: float) -> float:
@@ -45,7 +65,7 @@ def normal_p(z: float) -> float:
 def mann_whitney(df: DataFrame, group: str, value: str, first, second) -> dict:
     """U of ``first`` against ``second``, two-sided p by the normal approximation with tie correction."""
     d = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(group, value)
-    d = d.withColumn("_r", ranks(d, value))
+    d = ordering.ranked(d, value, "_r")
     per_value = d.groupBy(value).agg(F.count("*").alias("t"))
     tie = per_value.agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t"))).first()[0] or 0.0
     rows = {r[group]: r for r in d.groupBy(group).agg(F.count("*").alias("n"), F.sum("_r").alias("s")).collect()}  # two rows

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echograph.functions import ordering
+
 
 def merge_queue(queue: DataFrame, discovered: DataFrame) -> DataFrame:
     """(handle, is_seed, status) after new handles join: known ones keep their status, a seed flag spreads
@@ -31,18 +33,19 @@ def prefilter(queue: DataFrame, registry_handles: DataFrame, errors: DataFrame)
 
 
 def upsert_registry(registry: DataFrame, seen: DataFrame) -> DataFrame:
-    """registry and seen: (channel_id, handles, title, discoveries, step). The latest step's title wins;
-    handles keep their order, new ones last; discoveries unite."""
+    """registry and seen: (channel_id, handles, title, discoveries, last_scraped_step, last_scraped_tag,
+    last_scraped_at). The latest scrape gives title (if it has one), step, tag and time; handles keep their
+    order, new ones last; discoveries unite."""
     rows = registry.withColumn("_new", F.lit(0)).unionByName(seen.withColumn("_new", F.lit(1)))
-    order = F.struct("_new", "step")
+    order = F.struct("_new", "last_scraped_at", "last_scraped_step")
+    last = F.struct("last_scraped_step", "last_scraped_tag", "last_scraped_at")
     grouped = rows.groupBy("channel_id").agg(
-        F.max_by("title", F.when(F.col("title").isNotNull(), order)).alias("title"),
-        F.max("step").alias("step"),
+        F.max_by("title", F.when(F.col("title").isNotNull(), order)).alias("title"), F.max_by(last, order).alias("last"),
         F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("handles").alias("h"), F.col("discoveries").alias("d")))).alias("rows"),
-    )
+    )
     return grouped.select(
         "channel_id", F.array_distinct(F.flatten(F.transform("rows", lambda x: x["h"]))).alias("handles"), "title",
-        F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda x: x["d"])))).alias("discoveries"), "step",
+        F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda x: x["d"])))).alias("discoveries"), "last.*",
     )
 
 
@@ -60,21 +63,28 @@ def credit_discoveries(registry: DataFrame, handles: DataFrame, tag: str, step:
 
 
 def upsert_errors(errors: DataFrame, failures: DataFrame) -> DataFrame:
-    """errors: (handle, seen_in_tags, attempt_count, last_error); failures: (handle, tag, error)."""
-    new = failures.groupBy("handle").agg(F.collect_set("tag").alias("_tags"), F.count("*").alias("_n"), F.max("error").alias("_error"))
+    """errors: (handle, first_seen_step, first_seen_tag, seen_in_tags, attempt_count, last_attempt_at,
+    last_error); failures: (handle, tag, step, at, error). What was seen first stays, tags unite, attempts
+    add up, and the last error that is not null stands."""
+    order = F.struct("at", "step", "tag")
+    new = failures.groupBy("handle").agg(
+        F.collect_set("tag").alias("_tags"), F.count("*").alias("_n"), F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("_error"),
+        F.min_by(F.struct("step", "tag"), order).alias("_first"), F.max("at").alias("_at"),
+    )
     none = F.array().cast("array<string>")
+    old = F.col("attempt_count").isNotNull()
     return errors.join(new, "handle", "full_outer").select(
-        "handle", F.array_sort(F.array_union(F.coalesce("seen_in_tags", none), F.coalesce("_tags", none))).alias("seen_in_tags"),
-        (F.coalesce("attempt_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("attempt_count"), F.coalesce("_error", "last_error").alias("last_error"),
+        "handle", F.when(old, F.col("first_seen_step")).otherwise(F.col("_first.step")).alias("first_seen_step"), F.when(old, F.col("first_seen_tag")).otherwise(F.col("_first.tag")).alias("first_seen_tag"),
+        F.array_sort(F.array_union(F.coalesce("seen_in_tags", none), F.coalesce("_tags", none))).alias("seen_in_tags"),
+        (F.coalesce("attempt_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("attempt_count"),
+        F.greatest("last_attempt_at", "_at").alias("last_attempt_at"), F.coalesce("_error", "last_error").alias("last_error"),
     )
 
 
 def status_summary(queue: DataFrame, duration: str = "duration_s") -> DataFrame:
     """Per status the number of handles and the upper median of the durations."""
-    w = Window.partitionBy("status")
-    n, r = F.count(duration).over(w), F.row_number().over(w.orderBy(F.col(duration).asc_nulls_last()))
-    marked = queue.withColumn("_mid", F.when(r == F.floor(n / 2) + 1, F.col(duration)))
-    return marked.groupBy("status").agg(F.count("*").alias("n"), F.max("_mid").alias("median_duration"))
+    counts = queue.groupBy("status").agg(F.count("*").alias("n"))
+    return counts.join(ordering.middle(queue, ["status"], duration, "median_duration"), "status", "left")
 
 
 def in_window(messages: DataFrame, start, end, col: str = "date") -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echograph.functions import ordering
 from echograph.operators import small_graph
 from echograph.operators.components import connected_components
 from echograph.session import materialise
@@ -243,31 +244,30 @@ def degree_bucket(d: Column) -> Column:
 
 
 def tier(degrees: DataFrame, share: float, col: str = "degree") -> DataFrame:
-    """The top share of vertices, one at least, exactly int(n * share); ties cut by id. Only (rank, id)
-    rows meet in one order."""
+    """The top share of vertices, one at least, exactly int(n * share); ties cut by id."""
     n = degrees.agg(F.count("*").alias("_n"))
-    ranked = degrees.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(col), "id"))).join(F.broadcast(n), F.lit(True))
-    return ranked.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
+    placed = ordering.numbered(degrees, [F.desc(col), "id"], "_r").join(F.broadcast(n), F.lit(True))
+    return placed.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
 
 
 def tier_shares(g: Graph, shares: list[float]) -> DataFrame:
     """Per share: size, and edges that touch, stay inside, start in, end in the tier."""
-    d = materialise(g.degrees(), "degrees")
-    out = None
-    for s in shares:
-        t = tier(d, s).select("id", F.lit(True).alias("t"))
-        e = g.edges.join(t.toDF("src", "a"), "src", "left").join(t.toDF("dst", "b"), "dst", "left").na.fill(False, ["a", "b"])
-        row = e.agg(F.count("*").alias("n_edges"), F.count_if(F.expr("a or b")).alias("touching"), F.count_if(F.expr("a and b")).alias("internal"), F.count_if("a").alias("originating"), F.count_if("b").alias("terminating"))
-        row = row.join(t.agg(F.count("*").alias("size")), F.lit(True)).select(F.lit(float(s)).alias("share"), "size", "n_edges", "touching", "internal", "originating", "terminating", F.round((F.col("originating") + F.col("terminating")) / (2 * F.col("n_edges")), 6).alias("endpoint_share"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    d = ordering.numbered(g.degrees(), [F.desc("degree"), "id"], "r")
+    n = d.agg(F.count("*").alias("n"))
+    wanted = g.edges.sparkSession.createDataFrame([(float(x),) for x in shares], "share double").join(F.broadcast(n), F.lit(True))
+    wanted = wanted.withColumn("size", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * F.col("share"))))
+    places = d.select("id", "r")
+    e = g.edges.join(places.toDF("src", "rs"), "src").join(places.toDF("dst", "rd"), "dst").join(F.broadcast(wanted), F.lit(True))  # a row for each share
+    e = e.withColumn("a", F.col("rs") <= F.col("size")).withColumn("b", F.col("rd") <= F.col("size"))
+    rows = e.groupBy("share", F.least("size", "n").alias("size")).agg(F.count("*").alias("n_edges"), F.count_if(F.expr("a or b")).alias("touching"), F.count_if(F.expr("a and b")).alias("internal"), F.count_if("a").alias("originating"), F.count_if("b").alias("terminating"))
+    return rows.withColumn("endpoint_share", F.round((F.col("originating") + F.col("terminating")) / (2 * F.col("n_edges")), 6))
 
 
 def hub_ranks(degrees: DataFrame, k: int = 10) -> DataFrame:
     """The top k by in-, out- or total degree, with ranks in all three."""
     ranked = degrees
     for c in ("n_in", "n_out", "degree"):
-        ranked = ranked.withColumn(f"rank_{c}", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c), "id")))
+        ranked = ordering.numbered(ranked, [F.desc(c), "id"], f"rank_{c}")
     return ranked.filter(F.least("rank_n_in", "rank_n_out", "rank_degree") <= k)
 
 
@@ -376,8 +376,9 @@ def integration(edges: DataFrame, membership: DataFrame, cls: DataFrame, minorit
     """How a minority ties to a majority: home community (modal), edges, contacts, top-five broker share."""
     e = both_ways(collapse(edges)).join(cls.toDF("src", "cs"), "src").join(cls.toDF("dst", "cd"), "dst").filter((F.col("cs") == minority) & (F.col("cd") == majority))
     per = e.groupBy("src").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "src")
-    top = per.withColumn("r", F.row_number().over(order)).agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_members"), F.median("n").alias("median_contacts"), F.round(F.try_divide(F.sum(F.when(F.col("r") <= 5, F.col("n"))), F.sum("n")), 6).alias("top5_share"))
+    first = per.orderBy(F.desc("n"), "src").limit(5).agg(F.sum("n").alias("n_first"))
+    top = per.agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_members"), F.median("n").alias("median_contacts")).join(F.broadcast(first), F.lit(True))
+    top = top.withColumn("top5_share", F.round(F.try_divide("n_first", "n_edges"), 6)).drop("n_first")
     home = membership.join(cls.filter(F.col("cls") == minority), "id").groupBy("community").agg(F.count("*").alias("c")).agg(F.min_by("community", F.struct(-F.col("c"), "community")).alias("home"))
     return top.join(e.agg(F.count_distinct("dst").alias("n_contacts")), F.lit(True)).join(home, F.lit(True))
 
@@ -429,12 +430,20 @@ def schema_of(df: DataFrame, col: str) -> str:
     return f"id {dict(df.dtypes)[col]}, community long"
 
 
+def configuration_nulls(edges: DataFrame, reps: int, seed: int = 42) -> DataFrame:
+    """(rep, u, v): degree-preserving rewirings, loops and repeats kept: for each replicate the edge ends in
+    a seeded order, paired. All replicates are one plan, and no task sees all ends of one."""
+    e = materialise(collapse(edges), "configuration")
+    ends = both_ways(e).select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    rows = ends.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "rep", "id", "to"))
+    placed = ordering.numbered(rows, ["rep", "_h", "id", "to"], "_k")  # each replicate has an even number of ends
+    pair = F.floor((F.col("_k") - 1) / 2)
+    return placed.groupBy("rep", pair.alias("_pair")).agg(F.min_by("id", "_k").alias("u"), F.max_by("id", "_k").alias("v")).select("rep", "u", "v")
+
+
 def configuration_null(edges: DataFrame, rep: int, seed: int = 42) -> DataFrame:
-    """One degree-preserving rewiring (u, v), loops and repeats kept: stubs in a seeded order, paired."""
-    stubs = both_ways(collapse(edges)).select(F.col("src").alias("id"), F.col("dst").alias("to"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), F.lit(rep), "id", "to"), "id", "to")
-    numbered = stubs.withColumn("k", F.row_number().over(order) - 1)
-    return numbered.groupBy(F.floor(F.col("k") / 2).alias("pair")).agg(F.min_by("id", "k").alias("u"), F.max_by("id", "k").alias("v")).select("u", "v")
+    """One of the rewirings: ``rep`` tells it apart by its seed."""
+    return configuration_nulls(edges, 1, seed + rep).select("u", "v")
 
 
 def expected_same_class(edges: DataFrame, cls: DataFrame) -> DataFrame:
@@ -445,13 +454,11 @@ def expected_same_class(edges: DataFrame, cls: DataFrame) -> DataFrame:
     return per.join(F.broadcast(m2), F.lit(True)).select("cls", (F.col("vol") * (F.col("vol") - 1) / (2 * (F.col("m2") - 1))).alias("expected"))
 
 
-def null_statistic(edges: DataFrame, statistic, reps: int = 100, seed: int = 42) -> DataFrame:
-    """(rep, value) of a one-value statistic over rewired edges (src, dst)."""
-    out = None
-    for rep in range(reps):
-        row = statistic(configuration_null(edges, rep, seed).toDF("src", "dst")).toDF("value").select(F.lit(rep).alias("rep"), F.col("value").cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def null_same_class(edges: DataFrame, cls: DataFrame, reps: int = 100, seed: int = 42) -> DataFrame:
+    """(rep, value): edges within a class in each rewiring."""
+    c = cls.select("id", "cls")
+    e = configuration_nulls(edges, reps, seed).join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v")
+    return e.groupBy("rep").agg(F.count_if(F.expr("cu = cv")).cast("double").alias("value"))
 
 
 def subsample_edges(edges: DataFrame, m: int, seed: int) -> DataFrame:
@@ -473,8 +480,19 @@ def stability(spark: SparkSession, edges: DataFrame, seeds: list[int]) -> list[d
 
 
 def null_transitivity(edges: DataFrame, reps: int = 20, seed: int = 42) -> DataFrame:
-    """(rep, value): clustering of rewired graphs, loops and repeats taken out first."""
-    return null_statistic(edges, lambda e: Graph.from_edges(e).triangles().select("transitivity"), reps, seed)
+    """(rep, value): clustering of rewired graphs, loops and repeats taken out first. A vertex of a
+    replicate is a vertex of one graph that holds them all apart."""
+    e = configuration_nulls(edges, reps, seed).filter("u <> v").select("rep", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    e = materialise(e, "rewired")
+    both = e.unionByName(e.select("rep", F.col("v").alias("u"), F.col("u").alias("v")))
+    deg = both.groupBy("rep", "u").agg(F.count("*").alias("d"))
+    wedges = deg.groupBy("rep").agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("w"))
+    known = e.join(deg.toDF("rep", "u", "du"), ["rep", "u"]).join(deg.toDF("rep", "v", "dv"), ["rep", "v"])
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    d = known.select("rep", F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
+    two = d.join(d.toDF("rep", "b", "c"), ["rep", "b"]).select("rep", "a", "c")
+    n = two.join(d.toDF("rep", "a", "c"), ["rep", "a", "c"], "left_semi").groupBy("rep").agg(F.count("*").alias("t"))
+    return wedges.join(n, "rep", "left").select("rep", F.coalesce(F.try_divide(3 * F.coalesce("t", F.lit(0)), F.col("w")), F.lit(0.0)).alias("value"))
 
 
 def partition_agreement(a: DataFrame, b: DataFrame) -> dict:

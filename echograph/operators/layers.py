@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echograph.functions import ordering
 
 
 def all_rows():
-    """One window over a table of keys; only for tables that are small against the posts."""
+    """One window over a table with a row for each class, tier or bar."""
     return Window.partitionBy(F.lit(1))
 
 
@@ -92,7 +93,7 @@ def connectors(edges: DataFrame, min_votes: int) -> DataFrame:
     e = votes(edges).withColumn("src", source_of(F.col("nu"), F.col("nv"), F.col("u"), F.col("v"), min_votes))
     ends = e.select(F.col("u").alias("id"), "src").unionByName(e.select(F.col("v").alias("id"), "src"))
     out = ends.groupBy("id").agg(F.count("*").alias("links"), F.count_if(F.expr("src = id")).alias("n_out"), F.count_if(F.expr("src <> id")).alias("n_in"))
-    return out.withColumn("net", F.col("n_out") - F.col("n_in")).withColumn("rank", F.row_number().over(all_rows().orderBy(F.desc("links"), "id")))
+    return out.withColumn("net", F.col("n_out") - F.col("n_in")).transform(ordering.numbered, [F.desc("links"), "id"], "rank")
 
 
 def brokers(edges: DataFrame, cls: DataFrame, min_votes: int) -> DataFrame:
@@ -117,8 +118,10 @@ def provenance(df: DataFrame, shown: Column) -> DataFrame:
 
 def concentration(df: DataFrame, key: str, n: str, tops: list[int]) -> DataFrame:
     """Share of the total that the first 1, 4, 10 ... keys hold."""
-    r = df.withColumn("_r", F.row_number().over(all_rows().orderBy(F.desc(n), key)))
-    return r.agg(F.count("*").alias("n_keys"), F.sum(n).alias("total"), *[F.round(F.sum(F.when(F.col("_r") <= t, F.col(n)).otherwise(0)) / F.sum(n), 6).alias(f"top{t}") for t in tops])
+    first = df.orderBy(F.desc(n), key).limit(max(tops)).withColumn("_r", F.row_number().over(all_rows().orderBy(F.desc(n), key)))  # max(tops) rows
+    head = first.agg(*[F.sum(F.when(F.col("_r") <= t, F.col(n)).otherwise(0)).alias(f"top{t}") for t in tops])
+    total = df.agg(F.count("*").alias("n_keys"), F.sum(n).alias("total"))
+    return total.join(F.broadcast(head), F.lit(True)).select("n_keys", "total", *[F.round(F.col(f"top{t}") / F.col("total"), 6).alias(f"top{t}") for t in tops])
 
 
 def split_by_bars(edges: DataFrame, membership: DataFrame, bars: list[int]) -> DataFrame:
@@ -137,14 +140,14 @@ def orientation_coverage(edges: DataFrame, min_votes: int) -> DataFrame:
 
 def pareto(df: DataFrame, key: str, n: str) -> DataFrame:
     """(key, n, rank, cum_share): running share of the total, largest first."""
-    w = all_rows().orderBy(F.desc(n), key)
-    run = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select(key, n, F.row_number().over(w).alias("rank"), F.round(run / F.sum(n).over(all_rows()), 6).alias("cum_share"))
+    placed = ordering.numbered(df.select(key, n), [F.desc(n), key], "rank", {"_run": n})
+    total = df.agg(F.sum(n).alias("_total"))
+    return placed.join(F.broadcast(total), F.lit(True)).select(key, n, "rank", F.round(F.col("_run") / F.col("_total"), 6).alias("cum_share"))
 
 
 def rank_of(df: DataFrame, col: str) -> DataFrame:
     """1 plus the number of greater values."""
-    return df.withColumn("rank", F.rank().over(all_rows().orderBy(F.desc(col))))
+    return ordering.ranked(df, col, "rank", "least", descending=True)
 
 
 def partners(edges: DataFrame) -> DataFrame:
@@ -222,19 +225,24 @@ def tier_direction(directed: DataFrame, top: DataFrame) -> DataFrame:
 
 def tier_base_rate(df: DataFrame, value: str, flag: str, tiers: int = 10) -> DataFrame:
     """Per percentile tier of value: rows and flagged share, with the overall share beside it."""
-    t = df.withColumn("tier", F.ntile(tiers).over(all_rows().orderBy(F.desc(value), "id")))
+    r, n = F.col("_r") - 1, F.col("_n")
+    size, more = F.floor(n / tiers), n % tiers
+    t = ordering.numbered(df, [F.desc(value), "id"], "_r").join(F.broadcast(df.agg(F.count("*").alias("_n"))), F.lit(True))
+    t = t.withColumn("tier", (F.when(r < more * (size + 1), F.floor(r / (size + 1))).otherwise(more + F.floor((r - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1).cast("int"))
     return t.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg(F.col(flag).cast("double")), 6).alias("share")).withColumn("base", F.round(F.sum(F.col("share") * F.col("n")).over(all_rows()) / F.sum("n").over(all_rows()), 4))
 
 
 def out_profile(degrees: DataFrame) -> DataFrame:
     """out / (in + out), null without edges; sorted either way nulls come last."""
-    return degrees.withColumn("out_share", F.round(F.try_divide(F.col("n_out"), F.col("n_in") + F.col("n_out")), 6)).withColumn("rank_desc", F.row_number().over(all_rows().orderBy(F.desc_nulls_last("out_share"), "id"))).withColumn("rank_asc", F.row_number().over(all_rows().orderBy(F.asc_nulls_last("out_share"), "id")))
+    d = degrees.withColumn("out_share", F.round(F.try_divide(F.col("n_out"), F.col("n_in") + F.col("n_out")), 6))
+    return ordering.numbered(ordering.numbered(d, [F.desc_nulls_last("out_share"), "id"], "rank_desc"), [F.asc_nulls_last("out_share"), "id"], "rank_asc")
 
 
 def top_composition(df: DataFrame, value: str, kind: str, k: int = 100) -> DataFrame:
     """Kinds among the first k and among all."""
-    r = df.withColumn("_r", F.row_number().over(all_rows().orderBy(F.desc(value), "id")))
-    return r.groupBy(kind).agg(F.count_if(F.col("_r") <= k).alias("n_top"), F.count("*").alias("n_all"))
+    first = df.orderBy(F.desc(value), "id").limit(k).groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("n_top"))
+    every = df.groupBy(kind).agg(F.count("*").alias("n_all"))
+    return every.join(first, F.col(kind).eqNullSafe(F.col("_kind")), "left").select(kind, F.coalesce("n_top", F.lit(0)).alias("n_top"), "n_all")
 
 
 def selection_effect(df: DataFrame, inside: DataFrame, measures: list[str]) -> DataFrame:

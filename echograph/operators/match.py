@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echograph.functions import ordering
 from echograph.functions.text import seconds_between
 
 #: Upper ends of latency buckets in seconds, half open; the last bucket has none.
@@ -68,6 +69,12 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.85, block: int = 8192,
     return dealt.groupBy("p", "q").applyInArrow(multiply, "i long, j long, sim double")
 
 
+def representatives(occurrences: DataFrame) -> DataFrame:
+    """Occurrences (key, channel, msg_id, ts) with is_rep, the earliest post of each text, and n_channels."""
+    per = occurrences.groupBy("key").agg(F.min(F.struct("ts", "channel", "msg_id")).alias("_rep"), F.count_distinct("channel").alias("n_channels"))
+    return occurrences.join(per, "key").withColumn("is_rep", F.struct("ts", "channel", "msg_id") == F.col("_rep")).drop("_rep")
+
+
 def expand_pairs(pairs: DataFrame, occurrences: DataFrame, mode: str = "representative", cap: int = 10_000) -> DataFrame:
     """Text pairs (i, j, sim) to post pairs over occurrences (key, channel, msg_id, ts, is_rep). With
     ``all``, a pair with more than ``cap`` combinations keeps each side's earliest post only (capped)."""
@@ -89,7 +96,8 @@ def expand_pairs(pairs: DataFrame, occurrences: DataFrame, mode: str = "represen
         out = joined.join(a, (joined.i == a.a_key) & (~F.col("capped") | F.col("a__first"))).join(b, (F.col("j") == b.b_key) & (~F.col("capped") | F.col("b__first")))
     else:
         out = joined.join(a, joined.i == a.a_key).join(b, F.col("j") == b.b_key)
-    return out.select(*[F.col(f"{p}_{c}") for p in "ab" for c in ("channel", "msg_id", "ts")], "sim", "capped")
+    more = ["n_channels"] if "n_channels" in occurrences.columns else []
+    return out.select(*[F.col(f"{p}_{c}").alias(p if c == "channel" else f"{p}_{c}") for p in "ab" for c in ("channel", "msg_id", "ts", *more)], "sim", "capped")
 
 
 def keep_threshold(la: Column, lb: Column, same: float = 0.98, cross: float = 0.95, unknown: float = 0.98) -> Column:
@@ -112,6 +120,13 @@ def without_declared(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     return pairs
 
 
+def declared_drops(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(n_before, n_kept, n_dropped) of the declared exclusion."""
+    before = pairs.agg(F.count("*").alias("n_before"))
+    kept = without_declared(pairs, mentions).agg(F.count("*").alias("n_kept"))
+    return before.join(F.broadcast(kept), F.lit(True)).select("n_before", "n_kept", (F.col("n_before") - F.col("n_kept")).alias("n_dropped"))
+
+
 def orient(pairs: DataFrame) -> DataFrame:
     """u is the lesser channel; ids and dates swap along; a vote says who came first; latency in seconds."""
     flip = F.col("a") > F.col("b")
@@ -167,18 +182,17 @@ def latency_histogram(pairs: DataFrame, edges: list = BUCKETS) -> DataFrame:
     """Per class: pairs in each bucket, their number, and the upper median of the latencies."""
     dated = pairs.filter("latency_s is not null")
     counts = dated.groupBy("cls").agg(*[F.count_if(bucket(F.col("latency_s"), edges) == name).alias(name) for _, name in edges], F.count("*").alias("n_pairs"))
-    w = Window.partitionBy("cls")
-    mid = dated.withColumn("_r", F.row_number().over(w.orderBy("latency_s"))).withColumn("_n", F.count("*").over(w)).filter("_r = floor(_n / 2) + 1")
-    return counts.join(mid.select("cls", F.round("latency_s", 1).alias("median_s")), "cls")
+    mid = ordering.middle(dated, ["cls"], "latency_s", "median_s")
+    return counts.join(mid.select("cls", F.round("median_s", 1).alias("median_s")), "cls")
 
 
 def latency_by_bar(pairs: DataFrame, bars: list[int]) -> DataFrame:
     """Per class and bar: pairs on edges with that many pairs or more, those under five minutes, median."""
     sizes = pairs.groupBy("u", "v").agg(F.count("*").alias("n_edge"))
     rows = pairs.filter("latency_s is not null").join(sizes, ["u", "v"]).withColumn("bar", F.explode(F.array(*map(F.lit, bars)))).filter("n_edge >= bar")
-    w = Window.partitionBy("cls", "bar")
-    marked = rows.withColumn("_mid", F.when(F.row_number().over(w.orderBy("latency_s")) == F.floor(F.count("*").over(w) / 2) + 1, F.col("latency_s")))
-    return marked.groupBy("cls", "bar").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("latency_s") < 300).alias("lt5min"), F.round(F.max("_mid"), 1).alias("median_s"))
+    counts = rows.groupBy("cls", "bar").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("latency_s") < 300).alias("lt5min"))
+    mid = ordering.middle(rows, ["cls", "bar"], "latency_s", "median_s")
+    return counts.join(mid.select("cls", "bar", F.round("median_s", 1).alias("median_s")), ["cls", "bar"])
 
 
 def direction_pivot(pairs: DataFrame, floors: list = FLOORS, ks: list[int] = BARS, by: list[str] | None = None) -> DataFrame:
@@ -195,9 +209,13 @@ def build_summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n_edges"), F.sum("n_semantic").alias("n_semantic"), F.sum("n_copy").alias("n_copy"), F.count_if("reciprocal").alias("n_reciprocal"), F.count_if("is_cross").alias("n_cross"))
 
 
-def freeze(edges: DataFrame) -> DataFrame:
-    """The published columns of an edge table."""
-    return edges.select("u", "v", "n_semantic", "n_copy", "n_u_first", "n_v_first", "n_tie", "mean_sim", "max_sim", F.col("mean_latency_s"), "is_cross", "n_u_first_copy", "n_v_first_copy", "n_tie_copy", "mean_latency_copy")
+def freeze(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """The published columns of an edge table, with the classes of both ends where (handle, cls) are given."""
+    out = edges.select("u", "v", "n_semantic", "n_copy", "n_u_first", "n_v_first", "n_tie", "mean_sim", "max_sim", "mean_latency_s", "is_cross", "n_u_first_copy", "n_v_first_copy", "n_tie_copy", "mean_latency_copy")
+    if classes is None:
+        return out
+    c = classes.select("handle", "cls")
+    return out.join(c.toDF("u", "u_cls"), "u", "left").join(c.toDF("v", "v_cls"), "v", "left")
 
 
 def sample_accuracy(samples: DataFrame) -> DataFrame:

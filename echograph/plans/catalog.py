@@ -193,12 +193,6 @@ def schedule_offset(spark: SparkSession, sf: str) -> DataFrame:
     return layers.schedule_offset(V.forward_graph(spark, sf).edges, extract.hour_histogram(V.posts(spark, sf)))
 
 
-@query("channel_stats", "SELECT user_id AS channel, count(*) AS n_msgs, count(DISTINCT event_type) AS n_types, min(ts) AS first_date, max(ts) AS last_date, median(value)::BIGINT AS x, round(sum(value), 4) AS total FROM events GROUP BY user_id".replace("median(value)::BIGINT AS x", "trunc(median(value))::BIGINT AS median_value"))
-def channel_stats(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
-    return e.groupBy(F.col("user_id").alias("channel")).agg(F.count("*").alias("n_msgs"), F.count_distinct("event_type").alias("n_types"), F.min("ts").alias("first_date"), F.max("ts").alias("last_date"), F.median("value").cast("long").alias("median_value"), F.round(F.sum("value"), 4).alias("total"))
-
-
 @query("dominant_class", f"WITH {V.CLASSES} SELECT id, cls FROM cls")
 def dominant_class(spark: SparkSession, sf: str) -> DataFrame:
     return V.classes(spark, sf)
@@ -265,20 +259,6 @@ def conversation_roles(spark: SparkSession, sf: str) -> DataFrame:
 # The forward graph.
 
 
-@query("forward_edges", f"WITH {V.LAG} SELECT origin, target, count FROM lagged")
-def forward_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return V.lag_edges(spark, sf)
-
-
-@query("forward_rep", f"WITH {V.POSTS}, l AS (SELECT lag(channel) OVER (PARTITION BY key ORDER BY ts, msg_id) AS origin, channel AS target, msg_id, lag(ts) OVER (PARTITION BY key ORDER BY ts, msg_id) AS src FROM posts) SELECT origin, target, max(msg_id) AS target_msg_id, min(src) AS first_src_date, max(src) AS last_src_date FROM l WHERE origin IS NOT NULL GROUP BY ALL")
-def forward_rep(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy("ts", "msg_id")
-    p = V.posts(spark, sf).select(F.col("channel").alias("target"), "msg_id", F.lag("channel").over(w).alias("origin"), F.lag("ts").over(w).alias("src"))
-    return p.filter("origin is not null").groupBy("origin", "target").agg(F.max("msg_id").alias("target_msg_id"), F.min("src").alias("first_src_date"), F.max("src").alias("last_src_date"))
-
-
 @query("id_prefix_censor", f"WITH {V.LAG}, n AS (SELECT CASE WHEN origin % 10 = 0 THEN 'id:' || origin ELSE 'c' || origin END AS origin, target, count FROM lagged) SELECT origin, target, count FROM n WHERE NOT starts_with(origin, 'id:') AND count >= 2")
 def id_prefix_censor(spark: SparkSession, sf: str) -> DataFrame:
     named = V.lag_edges(spark, sf).withColumn("origin", F.concat(F.when(F.col("origin") % 10 == 0, "id:").otherwise("c"), F.col("origin").cast("string")))
@@ -565,12 +545,12 @@ def _accounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("spearman_true", f"WITH {_XY}, r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM d) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r")
 def spearman_true(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.spearman(_accounts(spark, sf), "x", "y").withColumn("rho", F.round("rho", 6))
+    return stats.spearman(_accounts(spark, sf), "x", "y").select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query("spearman_ordinal", f"WITH {_XY}, r AS (SELECT row_number() OVER (ORDER BY x, id) AS rx, row_number() OVER (ORDER BY y, id) AS ry FROM d) SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r")
 def spearman_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.spearman(_accounts(spark, sf), "x", "y", "ordinal", ["id"]).withColumn("rho", F.round("rho", 6))
+    return stats.spearman(_accounts(spark, sf), "x", "y", "ordinal", ["id"]).select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query("summary_stats", f"WITH {_XY} SELECT round(corr(x, y), 6) AS pearson, round(median(y), 6) AS median_y, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.75), 6) AS q75, round(stddev_pop(y), 6) AS sd FROM d")

@@ -109,11 +109,15 @@ def test_registry_and_queue(spark):
     out, bumped = collect.prefilter(q, known, errors)
     assert {r.handle: r.status for r in out.collect()} == {"a": "skipped", "b": "done", "c": "skipped", "e": "skipped"}
     assert bumped.first().attempt_count == 3
-    reg = "channel_id long, handles array<string>, title string, discoveries array<struct<tag:string,step:int>>, step int"
-    up = collect.upsert_registry(spark.createDataFrame([(1, ["x"], "old", [("t", 1)], 1)], reg), spark.createDataFrame([(1, ["y", "x"], "new", [("t", 2)], 2), (2, ["z"], None, [], 2)], reg))
-    assert {r.channel_id: (r.handles, r.title, len(r.discoveries)) for r in up.collect()} == {1: (["x", "y"], "new", 2), 2: (["z"], None, 0)}
-    err = collect.upsert_errors(spark.createDataFrame([("h", ["t1"], 1, "E")], "handle string, seen_in_tags array<string>, attempt_count int, last_error string"), spark.createDataFrame([("h", "t2", None), ("k", "t2", "F")], "handle string, tag string, error string"))
-    assert {r.handle: (r.seen_in_tags, r.attempt_count, r.last_error) for r in err.collect()} == {"h": (["t1", "t2"], 2, "E"), "k": (["t2"], 1, "F")}
+    reg = "channel_id long, handles array<string>, title string, discoveries array<struct<tag:string,step:int>>, last_scraped_step int, last_scraped_tag string, last_scraped_at timestamp"
+    day = lambda d: datetime(2023, 1, d)
+    up = collect.upsert_registry(spark.createDataFrame([(1, ["x"], "old", [("t", 1)], 1, "t", day(1))], reg), spark.createDataFrame([(1, ["y", "x"], None, [("t", 2)], 3, "v", day(3)), (1, ["x"], "new", [("t", 2)], 2, "u", day(2)), (2, ["z"], None, [], 2, "u", day(2))], reg))
+    assert {r.channel_id: (r.handles, r.title, len(r.discoveries), r.last_scraped_tag) for r in up.collect()} == {1: (["x", "y"], "new", 2, "v"), 2: (["z"], None, 0, "u")}
+    err = collect.upsert_errors(
+        spark.createDataFrame([("h", 1, "t1", ["t1"], 1, day(1), "E")], "handle string, first_seen_step int, first_seen_tag string, seen_in_tags array<string>, attempt_count int, last_attempt_at timestamp, last_error string"),
+        spark.createDataFrame([("h", "t2", 5, day(5), None), ("k", "t2", 5, day(5), "A"), ("k", "t0", 4, day(4), "Z")], "handle string, tag string, step int, at timestamp, error string"),
+    )
+    assert {r.handle: (r.first_seen_tag, r.seen_in_tags, r.attempt_count, r.last_attempt_at, r.last_error) for r in err.collect()} == {"h": ("t1", ["t1", "t2"], 2, day(5), "E"), "k": ("t0", ["t0", "t2"], 2, day(5), "A")}
 
 
 def test_message_files(spark, tmp_path):
