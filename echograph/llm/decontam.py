@@ -3,13 +3,14 @@
 The index is stored: each task cuts its documents into blocks and writes, for every block and bucket of
 terms, the sorted terms with their word positions, and the documents of the block. A search takes from
 it the postings of the benchmark's terms, by a join on buckets that is a broadcast only where Spark
-finds the term list small, and counts them over the corpus. Each benchmark window goes to the blocks
-that hold one of its ``ANCHORS`` rarest terms, by a join on terms, so what a search costs is the
-postings that it touches. There the lists of its two rarest terms, each moved back by the term's offset
-in the window, are intersected, and what is left is held against the lists of all its terms: exact
-phrases. Proximity matches are windows without an exact place in the document of which, around a place
-of one of the anchors, ``NEAR_SHARE`` of the words stand at most ``SLOP`` words before or after where
-the window would lie. The driver sees no postings, windows or items.
+finds the term list small, and counts them over the corpus. Benchmark items travel as segments of up to
+``SEGMENT`` windows. A segment goes to the blocks that hold one of the ``ANCHORS`` rarest terms of one of
+its windows, by a join on terms, so what a search costs is the postings that it touches. There the lists
+of each window's two rarest terms, moved back by the term's offset in the window, are intersected, and
+what is left is held against the lists of all its terms: exact phrases. Proximity matches are windows
+without an exact place in the document of which, around a place of one of the anchors, ``NEAR_SHARE`` of
+the words stand at most ``SLOP`` words before or after where the window would lie. The driver sees no
+postings, windows or items.
 
 Words match by 64-bit hashes, a window by those of all its words. Nulls have no words; a null item_id
 counts as an empty one; repeated item_ids count once; repeated documents get equal rows, and a null
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm.bytewords import Words, among, as_long, pack, pack_rows, unpack
+from echograph.llm.bytewords import Words, among, as_long, pack, pack_rows, unpack, window_hashes
 from echograph.llm.quality import row_key
 from echograph.llm.tokens import text_blocks
 from echograph.session import materialise, new_path
@@ -38,6 +39,7 @@ SLOP = 5
 NEAR_SHARE = 0.8
 #: With two of ten words gone one of the three rarest is still there.
 ANCHORS = 3
+SEGMENT = 64
 BLOCK_CHARS = 500_000
 #: Buckets of terms, by the first bits of their hashes.
 BUCKET_BITS = 10
@@ -95,42 +97,45 @@ def write_index(docs: DataFrame, path: str) -> None:
     rows.mapInArrow(_index_rows, _STORED).write.option("compression", "zstd").parquet(path)
 
 
-def _window_rows(window: int):
+def _segment_rows(window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, texts = batch.column("item_id"), batch.column("text").to_pylist()
             for a, b in text_blocks(texts, BLOCK_CHARS):
                 words = Words(texts[a:b], "alnum")
                 h, n = words.hashes(SEED), np.diff(words.first)
-                count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+                count = -(-np.where(n > 0, np.maximum(1, n - window + 1), 0) // most)
                 item = np.repeat(np.arange(b - a), count)
-                start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + words.first[item]
-                size = np.minimum(window, n[item])
+                skip = (np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)) * most
+                size = np.minimum(n[item] - skip, most + window - 1)
                 first = np.cumsum(size) - size
-                terms = h[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+                terms = h[np.repeat(words.first[item] + skip - first, size) + np.arange(int(size.sum()))]
                 yield pa.RecordBatch.from_arrays([items.slice(a, b - a).take(pa.array(item)), pack(terms, first)], ["item_id", "terms"])
 
     return run
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, terms, window): every window of every item, as the hashes of its words; window is a
-    hash of these."""
+def segments(benchmark: DataFrame, window: int = WINDOW, most: int = SEGMENT) -> DataFrame:
+    """(item_id, terms, segment): every item's windows, up to ``most`` neighbours together, as the hashes
+    of their words; segment is a hash of these."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_window_rows(window), "item_id string, terms binary").distinct().withColumn("window", F.xxhash64("terms"))
+    return rows.mapInArrow(_segment_rows(window, most), "item_id string, terms binary").distinct().withColumn("segment", F.xxhash64("terms"))
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, term, window, place) of each word of each window."""
+    """(bucket, term, segment, place) of each word of each segment."""
     for batch in batches:
         terms, row = unpack(batch.column("terms"))
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        yield pa.RecordBatch.from_arrays([pa.array(_bucket(terms)), as_long(terms), pa.array(batch.column("window").to_numpy()[row]), pa.array(place.astype(np.int32))], ["bucket", "term", "window", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(_bucket(terms)), as_long(terms), pa.array(batch.column("segment").to_numpy()[row]), pa.array(place.astype(np.int32))], ["bucket", "term", "segment", "place"])
 
 
 def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, block, n, gaps) of the wanted terms of each stored row."""
+    """(block, terms, sizes, gaps): the wanted terms of stored rows, those of one block in a batch together."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
         terms, row = unpack(batch.column("terms"))
         sizes, _ = unpack(batch.column("sizes"), np.uint32)
         gaps, _ = unpack(batch.column("gaps"), np.uint32)
@@ -138,9 +143,80 @@ def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = np.flatnonzero(among(terms, row, wanted, of, batch.num_rows))
         size = sizes[pick].astype(np.int64)
         start = (np.cumsum(sizes, dtype=np.int64) - sizes)[pick]
-        first = np.cumsum(size) - size
-        own = gaps[np.repeat(start - first, size) + np.arange(int(size.sum()))]
-        yield pa.RecordBatch.from_arrays([as_long(terms[pick]), pa.array(batch.column("block").to_numpy()[row[pick]]), pa.array(size), pack(own, first)], ["term", "block", "n", "gaps"])
+        base = np.cumsum(size) - size
+        own = gaps[np.repeat(start - base, size) + np.arange(int(size.sum()))]
+        whose = block[row[pick]]
+        first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]])) if len(pick) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(whose[first]), pack(terms[pick], first), pack(sizes[pick], first), pack(own, base[first])], ["block", "terms", "sizes", "gaps"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of packed postings, those of a batch added up."""
+    for batch in batches:
+        terms, at = np.unique(unpack(batch.column("terms"))[0], return_inverse=True)
+        n = np.bincount(at, unpack(batch.column("sizes"), np.uint32)[0], len(terms)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([as_long(terms), pa.array(n)], ["term", "n"])
+
+
+def _term_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms, row = unpack(batch.column("terms"))
+        yield pa.RecordBatch.from_arrays([as_long(terms), pa.array(batch.column("block").to_numpy()[row])], ["term", "block"])
+
+
+def _spread(terms: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment's row, first word, length) of the windows of packed segments."""
+    size = np.bincount(row)
+    n = np.maximum(1, size - window + 1)
+    of = np.repeat(np.arange(len(size)), n)
+    start = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(size) - size, n)
+    return of, start, np.minimum(window, size[of])
+
+
+def _rarest(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which words of each window are its anchors: the rarest that the corpus has, the first of equals. A
+    window that lacks too many words has none, a short one only if it has all, and then its rarest."""
+    width = counts.shape[1]
+    known = (counts > 0) & (np.arange(width) < length[:, None])
+    rank = np.argsort(np.argsort(np.where(known, counts, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1, kind="stable")
+    whole = length == width
+    enough = known.sum(axis=1) >= np.where(whole, int(np.ceil(NEAR_SHARE * width)), length)
+    return known & (rank < np.where(whole, ANCHORS, 1)[:, None]) & enough[:, None]
+
+
+def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, fill: int) -> np.ndarray:
+    step = np.arange(window)
+    return np.where(step < length[:, None], values[start[:, None] + np.minimum(step, length[:, None] - 1)], fill)
+
+
+def _anchor_rows(window: int):
+    """(segment, term) of the anchors of all windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms, row = unpack(batch.column("terms"))
+            counts, _ = unpack(batch.column("counts"), np.int64)
+            of, start, length = _spread(terms, row, window)
+            w, k = np.nonzero(_rarest(_gather(counts, start, length, window, 0), length))
+            at = np.unique(start[w] + k)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("segment").to_numpy()[row[at]]), as_long(terms[at])], ["segment", "term"])
+
+    return run
+
+
+def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, terms, counts): counts as a binary beside the terms, 0 where the corpus lacks a word."""
+    for batch in batches:
+        terms, row = unpack(batch.column("terms"))
+        counts = np.zeros(len(terms), np.int64)
+        known = batch.column("known")
+        first = np.searchsorted(row, np.arange(batch.num_rows))
+        for k, places in enumerate(known.to_pylist()):
+            for x in places or ():
+                counts[first[k] + x["place"]] = x["count"]
+        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("terms"), pack(counts, first)], ["segment", "terms", "counts"])
 
 
 class Block:
@@ -225,35 +301,38 @@ _FOUND = "block long, place int, doc_id long, text_hash long, n_words long, n_hi
 
 
 def _match(window: int):
-    """Rows sorted by block: its postings (kind 0), its documents (1), then windows to search for (2)."""
+    """Rows sorted by block: its postings (kind 0), its documents (1), then segments to search for (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
 
         def start(number: int) -> None:
-            state.update(number=number, terms=[], sizes=[], gaps=[], docs=None, block=None, edge=None, exact=[], close=[])
+            state.update(number=number, terms=[], sizes=[], gaps=[], docs=None, block=None, edge=None, exact=[], sure=[], close=[])
 
         def look_for(rows: pa.RecordBatch) -> None:
             if state["block"] is None:
                 join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
                 state["block"] = Block(join(state["terms"], np.uint64), join(state["sizes"], np.int64), join(state["gaps"], np.uint32), state["docs"][2])
                 state["edge"] = np.zeros(state["block"].total + 1, np.int64)
-            block, number = state["block"], rows.column("window").to_numpy()
+            block, number = state["block"], rows.column("segment").to_numpy()
             terms, row = unpack(rows.column("terms"))
-            length = np.bincount(row, minlength=rows.num_rows)
-            ids = np.full((rows.num_rows, window), -1, np.int64)
-            ids[row, np.arange(len(row)) - np.searchsorted(row, row)] = block.numbers(terms)
-            anchors = ((rows.column("anchors").to_numpy()[:, None] >> np.arange(window)) & 1 == 1) & (ids >= 0)
-            # The anchors' postings bound what an intersection holds: so many rows at a time.
+            counts, _ = unpack(rows.column("counts"), np.int64)
+            of, start, length = _spread(terms, row, window)
+            ids = _gather(block.numbers(terms), start, length, window, -1)
+            anchors = _rarest(_gather(counts, start, length, window, 0), length) & (ids >= 0)
+            whole = window_hashes(terms, window, SEED + 1) if len(terms) >= window else np.zeros(0, np.uint64)
+            name = np.where(length == window, whole[np.minimum(start, max(len(whole) - 1, 0))].view(np.int64) if len(whole) else 0, 0)
+            # The anchors' postings bound what an intersection holds: so many at a time.
             load = np.cumsum(np.where(anchors, block.counts[ids] if len(block.counts) else 0, 0).sum(axis=1)) // MOST_PLACES
             cuts = np.flatnonzero(np.diff(load)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
                 w, place = block.exact(ids[a:b], length[a:b])
                 np.add.at(state["edge"], place, 1)
                 np.add.at(state["edge"], place + length[a:b][w], -1)
-                state["exact"].append(np.stack([block.doc[place], number[a:b][w]]))
+                state["exact"].append(np.stack([block.doc[place], number[of[a:b]][w]]))
+                state["sure"].append(np.stack([block.doc[place], name[a:b][w]]))
                 w, doc = block.near(ids[a:b], anchors[a:b] & (length[a:b] == window)[:, None])
-                state["close"].append(np.stack([doc, number[a:b][w]]))
+                state["close"].append(np.stack([doc, name[a:b][w]]))
 
         def finish() -> pa.RecordBatch:
             doc_ids, hashes, n_words = state["docs"]
@@ -266,7 +345,7 @@ def _match(window: int):
                 first = state["block"].first
                 total = np.concatenate([[0], np.cumsum(np.cumsum(state["edge"][:-1]) > 0)])
                 n_hit = total[first[1:]] - total[first[:-1]]
-                sure = set(zip(*exact.tolist()))
+                sure = set(zip(*pairs(state["sure"]).tolist()))
                 only = [d for d, w in zip(*close.tolist()) if (d, w) not in sure]
                 n_near = np.bincount(only, minlength=n) if only else n_near
             found = pa.ListArray.from_arrays(pa.array(np.searchsorted(exact[0], np.arange(n + 1)).astype(np.int32)), pa.array(exact[1]))
@@ -287,8 +366,8 @@ def _match(window: int):
                         yield finish()
                     start(int(numbers[a]))
                 if kinds[a] == 0:
-                    state["terms"].append(part.column("term").to_numpy().view(np.uint64))
-                    state["sizes"].append(part.column("n").to_numpy())
+                    state["terms"].append(unpack(part.column("terms"))[0])
+                    state["sizes"].append(unpack(part.column("sizes"), np.uint32)[0].astype(np.int64))
                     state["gaps"].append(unpack(part.column("gaps"), np.uint32)[0])
                 elif kinds[a] == 1:
                     state["docs"] = [part.column(c)[0].values for c in ("doc_ids", "text_hashes")] + [part.column("n_words")[0].values.to_numpy()]
@@ -303,37 +382,32 @@ def _match(window: int):
 def search(spark: SparkSession, path: str, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document of the index below ``path``: block, place, doc_id, text_hash, n_words, n_hit, items
     (the ids of items with exact windows there) and n_near."""
-    wanted = materialise(windows(benchmark, window), "benchmark-windows")
+    wanted = materialise(segments(benchmark, window), "benchmark-segments")
     stored = spark.read.schema(_STORED).parquet(path)
-    distinct = wanted.select("window", "terms").distinct()
-    words = materialise(distinct.mapInArrow(_term_rows, "bucket int, term long, window long, place int"), "benchmark-terms")
+    distinct = wanted.select("segment", "terms").distinct()
+    words = materialise(distinct.mapInArrow(_term_rows, "bucket int, term long, segment long, place int"), "benchmark-terms")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = words.select("bucket", "term").distinct().repartition(n, "bucket").sortWithinPartitions("bucket", "term").mapInArrow(pack_rows("bucket", "term", "wanted"), "bucket int, wanted binary")
     held = stored.filter("bucket >= 0").select("bucket", "block", "terms", "sizes", "gaps").join(lists, "bucket").drop("bucket")
-    postings = materialise(held.mapInArrow(_taken, "term long, block long, n long, gaps binary"), "benchmark-postings")
-    counts = postings.groupBy("term").agg(F.sum("n").alias("count"))
-    ranked = words.join(counts, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("count", "place", "term"))).alias("ranked"), F.count("*").alias("known"))
-    size = F.octet_length("terms") / 8
-    # Of a shorter window, or one that has too few words in the corpus, only whole matches are sought.
-    enough = F.when(size == window, F.ceil(F.lit(NEAR_SHARE) * window)).otherwise(size)
-    chosen = ranked.join(distinct, "window").filter(F.col("known") >= enough)
-    chosen = chosen.withColumn("ranked", F.slice("ranked", 1, F.when(size == window, F.lit(ANCHORS)).otherwise(F.lit(1))))
-    bits = F.aggregate("ranked", F.lit(0), lambda a, x: a + F.pow(F.lit(2), x["place"]).cast("int"))
-    chosen = materialise(chosen.select("window", "terms", bits.alias("anchors"), F.col("ranked.term").alias("rare")), "benchmark-anchors")
-    sought = chosen.select("window", F.explode("rare").alias("term")).join(postings.select("term", "block"), "term").select("window", "block").distinct()
-    sought = materialise(sought, "benchmark-blocks")
+    postings = materialise(held.mapInArrow(_taken, "block long, terms binary, sizes binary, gaps binary"), "benchmark-postings")
+    counts = postings.select("terms", "sizes").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("count"))
+    known = words.join(counts, "term").groupBy("segment").agg(F.collect_list(F.struct("place", "count")).alias("known"))  # a segment's words
+    chosen = materialise(distinct.join(known, "segment").mapInArrow(_with_counts, "segment long, terms binary, counts binary"), "benchmark-counts")
+    rare = chosen.mapInArrow(_anchor_rows(window), "segment long, term long")
+    blocks = postings.select("block", "terms").mapInArrow(_term_blocks, "term long, block long")
+    sought = materialise(rare.join(blocks, "term").select("segment", "block").distinct(), "benchmark-blocks")
     touched = postings.join(sought.select("block").distinct(), "block", "left_semi")
-    empty = {"kind": "int", "term": "long", "n": "long", "gaps": "binary", "window": "long", "terms": "binary", "anchors": "int", "doc_ids": "array<long>", "text_hashes": "array<long>", "n_words": "array<long>"}
+    empty = {"kind": "int", "segment": "long", "terms": "binary", "sizes": "binary", "gaps": "binary", "counts": "binary", "doc_ids": "array<long>", "text_hashes": "array<long>", "n_words": "array<long>"}
 
     def row(df: DataFrame, kind: int, *columns: str) -> DataFrame:
         value = lambda c: F.lit(kind) if c == "kind" else F.col(c) if c in columns else F.lit(None).cast(empty[c])
         return df.select("block", *[value(c).alias(c) for c in empty])
 
-    rows = row(touched, 0, "term", "n", "gaps").unionByName(row(stored.filter("bucket = -1"), 1, "doc_ids", "text_hashes", "n_words"))
-    rows = rows.unionByName(row(sought.join(chosen, "window"), 2, "window", "terms", "anchors"))
+    rows = row(touched, 0, "terms", "sizes", "gaps").unionByName(row(stored.filter("bucket = -1"), 1, "doc_ids", "text_hashes", "n_words"))
+    rows = rows.unionByName(row(sought.join(chosen, "segment"), 2, "segment", "terms", "counts"))
     found = materialise(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_match(window), _FOUND), "benchmark-found")
-    hit = found.filter("size(found) > 0").select("block", "place", F.explode("found").alias("window"))
-    items = hit.join(wanted.select("window", "item_id"), "window").groupBy("block", "place").agg(F.collect_set("item_id").alias("items"))
+    hit = found.filter("size(found) > 0").select("block", "place", F.explode("found").alias("segment"))
+    items = hit.join(wanted.select("segment", "item_id"), "segment").groupBy("block", "place").agg(F.collect_set("item_id").alias("items"))
     return found.drop("found").join(items, ["block", "place"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
