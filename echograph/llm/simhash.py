@@ -1,17 +1,25 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints at most ``RADIUS`` bits apart agree on ``AGREE`` of ``BLOCKS`` bit blocks at least, so
-distinct fingerprints meet in a table for each choice of such blocks. Within a bucket they are
-compared bit-sliced: bit planes lie vertically, a word holding one bit of 64 fingerprints or pairs;
-carry-save counters add a plane to all distances at once, and a block is abandoned as soon as every
-distance in it exceeds the radius. Links become components in distributed rounds.
-
-Equal texts share one fingerprint and count once in the search. Buckets over ``BUCKET`` fingerprints
-are dealt out as pairs of parts, so no task holds or compares more than two parts at a time and no
-link is lost. Of a large bucket only edges that span its components leave the task.
-
-A null or empty text has fingerprint zero, which links like any other. Repeated rows link. A null
-doc_id counts for no component id but gets its group's. An empty table gives no rows.
+``near_duplicates`` links fingerprints at most ``RADIUS`` bits apart. They agree on ``AGREE`` of
+``BLOCKS`` bit blocks at least, so distinct fingerprints meet in a table for each choice of such blocks.
+``near_copies`` links texts that share ``SIMILARITY`` of their five-word shingles; their fingerprints are
+up to some 14 bits apart, too far for bit blocks, so texts meet by bands of a MinHash, and what lies
+within ``WIDE`` bits there is verified by its shingles.
+
+Within a bucket fingerprints are compared bit-sliced: bit planes lie vertically, a word holding one bit of
+64 fingerprints or pairs; carry-save counters add a plane to all distances at once, and a block is
+abandoned as soon as every distance in it exceeds the radius. Links become components in distributed
+rounds.
+
+Equal texts share one fingerprint and count once in the search. Buckets over ``BUCKET`` fingerprints are
+dealt out as pairs of parts, so no task holds or compares more than two parts at a time; of a large bucket
+only edges that span its components (of ``near_duplicates``), or to the nearest members (of
+``near_copies``), leave the task.
+
+A null or empty text has fingerprint zero, which links like any other. Repeated rows link. Ties for the
+row that stays go to the least id, text hash and then row as JSON. A null doc_id counts for no component
+id but gets its group's. Texts are fingerprinted whole, however long. Other columns, whatever their names,
+are carried along in ``keep_one`` and not read elsewhere. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echograph.llm.bytewords import mix
 from echograph.operators.components import connected_components
 from echograph.session import materialise
 
@@ -36,18 +45,34 @@ BUCKET = 4096
 #: Buckets up to this size are compared pair by pair, in lanes over many buckets.
 SMALL = 16
 SEED = 42
+#: Of near_copies: words of a shingle, the least similarity, the radius, and the MinHash's bands.
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE = 18
+BANDS, BAND = 8, 3
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str, shingle: int, seed: int = SEED) -> np.ndarray:
     """bytes.lower and bytes.split know ASCII only, which is what the words' definition asks for."""
     data = b" ".join(text.encode().lower().split())
     if not data:
-        return 0
+        return np.zeros(0, "<u8")
     starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20) + 1])
     n = max(1, len(starts) - shingle + 1)
     ends = np.append(starts[shingle:] - 1, len(data)).tolist() if len(starts) > shingle else [len(data)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], seed) for a, b in zip(starts[:n].tolist(), ends)], "<u8")
+    return np.array([digest(data[a:b], seed) for a, b in zip(starts[:n].tolist(), ends)], "<u8")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without any."""
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -239,15 +264,132 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(class_of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, all its columns: the least doc_id, then the least text hash; a row without
-    an id only where no row of the component has one."""
-    found = near_duplicates(docs, shingle, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("k")
-    heads = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("h_id"), F.col("k.text_hash").alias("h_text"))
+def _copy_rows(shingle: int):
+    turn = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND, np.int64).view(np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                h = shingle_hashes(text or "", shingle)
+                if len(h):
+                    prints[k] = majority(h)
+                    least = np.array([(h * t).min() for t in turn])  # the order of products by an odd number
+                    for j in range(BAND):
+                        bands[k] = mix(bands[k] * np.uint64(31) + least[j::BAND])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64)), keys], ["doc_id", "text_hash", "fp", "bands"])
+
+    return run
+
+
+def _nearest(radius: int):
+    """Edges of sorted buckets (key, parts p and q): each member's, of all small buckets, or of a large one
+    to the nearest member before it and to the bucket's first within the radius."""
+
+    def edges(part: np.ndarray, p: int, text: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(text)
+        if n <= SMALL:
+            i, j = np.triu_indices(n, 1)
+            near = near_pairs(fp[i], fp[j], radius)
+            return text[i[near]], text[j[near]]
+        u, v, planes = [], [], bit_planes(fp)
+        for a in range(0, n, 32):
+            own = np.arange(a, min(a + 32, n))
+            bit = lambda b: np.where(fp[own] >> np.uint64(b) & np.uint64(1), np.uint64(2**64 - 1), np.uint64(0))[:, None]
+            bits = within(lambda b: planes[b][None, :] ^ bit(b), (len(own), planes.shape[1]), radius)
+            if bits is None:
+                continue
+            near = _lanes(bits, n) & (np.arange(n) < own[:, None])
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                at = np.flatnonzero(near[k])
+                best = at[np.argmin(np.bitwise_count(fp[at] ^ fp[own[k]]))]
+                for other in {int(at[0]), int(best)}:
+                    u.append(text[other])
+                    v.append(text[own[k]])
+        return np.array(u, np.int64), np.array(v, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "key", "q", "part", "text_hash", "fp")], axis=1)
+            held = rows if held is None else np.concatenate([held, rows])
+            cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
+            if len(cuts):
+                yield emit(held[: cuts[-1]], cuts[:-1])
+                held = held[cuts[-1] :]
+        if held is not None and len(held):
+            yield emit(held, np.zeros(0, np.int64))
+
+    def emit(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        found = [edges(g[:, 3], int(g[0, 2]), g[:, 4], g[:, 5].view(np.uint64)) for g in np.split(rows, cuts) if len(g) > 1]
+        join = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(join(0)), pa.array(join(1))], ["u", "v"])
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or "", shingle) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(sets, pa.binary())], ["text_hash", "held"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Per row: doc_id, text_hash and root, the same for all texts that links of ``similarity`` reach. A text
+    meets another with probability 1 - (1 - s^BAND)^BANDS at similarity s: 0.997 at 0.8."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    prints = materialise(rows.mapInArrow(_copy_rows(shingle), "doc_id long, text_hash long, fp long, bands array<long>"), "copy-fingerprints")
+    distinct = prints.groupBy("text_hash").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))  # both depend on the text alone
+    met = materialise(distinct.select("text_hash", "fp", F.posexplode("bands").alias("band", "key")), "copy-bands")
+    sizes = met.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / bucket).cast("int")
+    dealt = met.join(sizes, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("text_hash"), parts).cast("int"))
+    # Every part is compared within itself and, where there are several, the first part with each other one.
+    dealt = dealt.withColumn("q", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array("part"))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["band", "key", "q", "text_hash"]
+    pairs = dealt.select("band", "key", "q", "part", "text_hash", "fp").repartition(n, "band", "key", "q").sortWithinPartitions(*order).mapInArrow(_nearest(radius), "u long, v long")
+    pairs = materialise(pairs.distinct(), "copy-pairs")
+    wanted = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
+    texts = rows.select("text_hash", "text").join(wanted, "text_hash", "left_semi").mapInArrow(_shingle_sets(shingle), "text_hash long, held binary")
+    sets = materialise(texts.groupBy("text_hash").agg(F.first("held").alias("held")), "copy-sets")
+    checked = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    members = connected_components(materialise(checked.mapInArrow(_alike(similarity), "u long, v long"), "copy-links"))
+    members = materialise(members, "copy-classes")  # stored, so that the join can split a text with many rows
+    return prints.select("doc_id", "text_hash").join(members.toDF("text_hash", "component"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, all its columns: the least doc_id, then the least text hash; a
+    row without an id only where no row of the group has one. Texts shuffle once."""
+    found = near_copies(docs, shingle, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash"))
+    heads = found.groupBy("root").agg(first.alias("k")).select("root", F.col("k.doc_id").alias("h_id"), F.col("k.text_hash").alias("h_text"))
+    copies = found.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_text")).agg(F.count("*").alias("copies"))
+    heads = materialise(heads.join(copies, heads["h_id"].eqNullSafe(copies["c_id"]) & (heads["h_text"] == copies["c_text"])).select("h_id", "h_text", "copies"), "copy-heads")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("text_hash"))
-    kept = rows.join(heads, rows["text_hash"].eqNullSafe(heads["h_text"]) & rows["id"].eqNullSafe(heads["h_id"]), "left_semi")
-    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
+    kept = rows.join(heads, rows["id"].eqNullSafe(heads["h_id"]) & (rows["text_hash"] == heads["h_text"]))
+    # Only rows that repeat id and text need a choice among them.
+    chosen = kept.filter("copies > 1").groupBy("id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.filter("copies = 1").select("row.*").unionByName(chosen.select("row.*"))
 
 
 def op6_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

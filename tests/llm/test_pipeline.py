@@ -39,14 +39,12 @@ def test_stages(spark, tables, tmp_path):
             # No line is common enough for the corpus rule here, so the base rules decide.
             want = [r for r, (_, v) in zip(rows, brute.op8(rows)) if not v[5]]
         elif k == 1:
-            # Components by fingerprints; rows of equal fingerprint share their fate.
-            heads, best = list(brute.op6(rows)), {}
-            groups = components([v[0] for _, v in heads])
+            heads, groups = {}, copies([t for _, t in rows])
             for (i, t), g in zip(rows, groups):
                 key = (i is None, i or 0)
-                if g not in best or key < best[g][0]:
-                    best[g] = (key, i)
-            assert Counter(r[0] for r in rows_of(out)) == Counter(i for _, i in best.values())
+                if g not in heads or key < heads[g][0]:
+                    heads[g] = (key, i)
+            assert Counter(r[0] for r in rows_of(out)) == Counter(i for _, i in heads.values())
             want = rows_of(out)
             assert not Counter(want) - Counter(rows)
         elif k == 2:
@@ -62,22 +60,78 @@ def test_stages(spark, tables, tmp_path):
         docs, rows = out, rows_of(out)
 
 
-def components(prints):
-    values = sorted({int(p, 16) for p in prints})
-    group = {v: v for v in values}
+def shingles(text):
+    w = brute.W8.findall(brute.low(text or ""))
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
-    def find(v):
-        while group[v] != v:
-            v = group[v]
-        return v
 
-    for a in values:
-        for b in values:
-            if a < b and (a ^ b).bit_count() <= 4:
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
-    return [find(int(p, 16)) for p in prints]
+def copies(texts):
+    """A number for each text's group: texts linked by 0.8 of their shingles, without a search index."""
+    distinct = sorted({t or "" for t in texts})
+    held, group = [shingles(t) for t in distinct], list(range(len(distinct)))
+    where = {}
+    for k, own in enumerate(held):
+        for x in own or {None}:
+            where.setdefault(x, []).append(k)
 
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
 
-def test_run_equals_stages(spark, tables):
-    assert sum(r.length for r in corpus_pipeline.run(spark, tables).collect()) >= 0
+    for k, own in enumerate(held):
+        for j in {j for x in own or {None} for j in where[x] if j < k}:
+            both = len(own & held[j])
+            if both >= 0.8 * len(own | held[j]):
+                a, b = find(j), find(k)
+                group[max(a, b)] = min(a, b)
+    place = {t: k for k, t in enumerate(distinct)}
+    return [find(place[t or ""]) for t in texts]
+
+
+def test_run_equals_stages(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, tables)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(docs.schema).parquet(str(tmp_path / name))
+    piece = lambda r: (r.doc_id, r.doc_tokens)
+    want, got = docs.collect(), corpus_pipeline.run(spark, tables).collect()
+    lengths = lambda rows: {k: sum(r.length for r in rows if piece(r) == k) for k in set(map(piece, rows))}
+    assert lengths(got) == lengths(want)
+    for rows in (got, want):
+        filled = Counter()
+        for r in rows:
+            filled[r.sequence_id] += r.length
+        assert all(n <= 2048 for n in filled.values())
+
+
+def test_near_copies_are_found(spark):
+    """Edited copies of every similarity: those at 0.8 or more go, unlike documents stay."""
+    import random
+
+    from echograph.llm import simhash
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, base = [], [word() for _ in range(300)]
+    for k in range(60):
+        own = [word() for _ in range(rng.choice([60, 200, 800]))]
+        rows.append((10 * k, " ".join(own)))
+        for j in range(1, 4):
+            edited = [word() if rng.random() < 0.008 * j else w for w in own]
+            rows.append((10 * k + j, " ".join(edited)))
+    rows += [(1000 + k, " ".join(word() if i == k % 300 or i == 7 * k % 300 else w for i, w in enumerate(base))) for k in range(400)]
+    rows += [(2000, None), (2001, ""), (2002, "  "), (2003, "short"), (2004, "Short"), (None, "short"), (5, "other words of an old id"), (2003, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = copies([t for _, t in rows])
+    best = {}
+    for (i, _), g in zip(rows, groups):
+        key = (i is None, i or 0)
+        best[g] = min(best.get(g, key), key)
+    got = Counter(r.doc_id for r in simhash.keep_one(docs).collect())
+    want = Counter(i for _, i in best.values())
+    extra, missing = got - want, want - got
+    assert sum(extra.values()) <= 0.02 * len(rows) and not missing, (extra, missing)
+    small = Counter(r.doc_id for r in simhash.near_copies(docs, bucket=32).groupBy("root").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").collect())
+    assert sum((small - want).values()) <= 0.02 * len(rows)
