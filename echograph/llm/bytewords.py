@@ -102,8 +102,8 @@ def unpack(column: pa.Array, kind: type = np.uint64) -> tuple[np.ndarray, np.nda
 
 
 def among(values: np.ndarray, row: np.ndarray, found: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Which values are among the found ones of their row, by binary search in all rows at once. Both
-    come ordered by row, of which there are n."""
+    """Which values are among the found ones of their row, by binary search in all rows at once; ``of``
+    ascends over n rows."""
     found = found[np.lexsort((found, of))]
     first = np.searchsorted(of, np.arange(n + 1))
     lo, hi = first[row], first[row + 1]

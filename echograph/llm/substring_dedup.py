@@ -202,10 +202,12 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_id, _text, start, n): runs of windows that are among the repeated ones of their fingerprint."""
     for batch in batches:
         h, row = unpack(batch.column("hashes"))
-        found, of = unpack(batch.column("found"))
         if not len(h):
             continue
-        hit = among(h, row, found, of, batch.num_rows)
+        lists: dict[bytes, int] = {}  # rows of one fingerprint share theirs
+        which = np.array([lists.setdefault(v, len(lists)) for v in batch.column("found").to_pylist()])
+        found, of = unpack(pa.array(lists, pa.binary()))
+        hit = among(h, which[row], found, of, len(lists))
         at = np.flatnonzero(hit)
         if not len(at):
             continue
