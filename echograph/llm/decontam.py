@@ -173,12 +173,12 @@ def _spread(terms: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray
     return of, start, np.minimum(window, size[of])
 
 
-def _rarest(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _rarest(ranks: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which words of each window are its anchors: the rarest that the corpus has, the first of equals. A
     window that lacks too many words has none, a short one only if it has all, and then its rarest."""
-    width = counts.shape[1]
-    known = (counts > 0) & (np.arange(width) < length[:, None])
-    rank = np.argsort(np.argsort(np.where(known, counts, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1, kind="stable")
+    width = ranks.shape[1]
+    known = (ranks > 0) & (np.arange(width) < length[:, None])
+    rank = np.argsort(np.argsort(np.where(known, ranks, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1, kind="stable")
     whole = length == width
     enough = known.sum(axis=1) >= np.where(whole, int(np.ceil(NEAR_SHARE * width)), length)
     return known & (rank < np.where(whole, ANCHORS, 1)[:, None]) & enough[:, None]
@@ -197,26 +197,27 @@ def _anchor_rows(window: int):
             if not batch.num_rows:
                 continue
             terms, row = unpack(batch.column("terms"))
-            counts, _ = unpack(batch.column("counts"), np.int64)
+            ranks, _ = unpack(batch.column("ranks"), np.uint16)
             of, start, length = _spread(terms, row, window)
-            w, k = np.nonzero(_rarest(_gather(counts, start, length, window, 0), length))
+            w, k = np.nonzero(_rarest(_gather(ranks, start, length, window, 0), length))
             at = np.unique(start[w] + k)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("segment").to_numpy()[row[at]]), as_long(terms[at])], ["segment", "term"])
 
     return run
 
 
-def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, terms, counts): counts as a binary beside the terms, 0 where the corpus lacks a word."""
+def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, terms, ranks): beside each term its rank by count within the segment, from 1, equal counts
+    alike, and 0 where the corpus lacks a word."""
     for batch in batches:
         terms, row = unpack(batch.column("terms"))
-        counts = np.zeros(len(terms), np.int64)
-        known = batch.column("known")
+        ranks = np.zeros(len(terms), "<u2")
         first = np.searchsorted(row, np.arange(batch.num_rows))
-        for k, places in enumerate(known.to_pylist()):
-            for x in places or ():
-                counts[first[k] + x["place"]] = x["count"]
-        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("terms"), pack(counts, first)], ["segment", "terms", "counts"])
+        for k, places in enumerate(batch.column("known").to_pylist()):
+            if places:
+                at = np.array([x["place"] for x in places])
+                ranks[first[k] + at] = np.unique([x["count"] for x in places], return_inverse=True)[1] + 1
+        yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("terms"), pack(ranks, first)], ["segment", "terms", "ranks"])
 
 
 class Block:
@@ -316,10 +317,10 @@ def _match(window: int):
                 state["edge"] = np.zeros(state["block"].total + 1, np.int64)
             block, number = state["block"], rows.column("segment").to_numpy()
             terms, row = unpack(rows.column("terms"))
-            counts, _ = unpack(rows.column("counts"), np.int64)
+            ranks, _ = unpack(rows.column("ranks"), np.uint16)
             of, start, length = _spread(terms, row, window)
             ids = _gather(block.numbers(terms), start, length, window, -1)
-            anchors = _rarest(_gather(counts, start, length, window, 0), length) & (ids >= 0)
+            anchors = _rarest(_gather(ranks, start, length, window, 0), length) & (ids >= 0)
             whole = window_hashes(terms, window, SEED + 1) if len(terms) >= window else np.zeros(0, np.uint64)
             name = np.where(length == window, whole[np.minimum(start, max(len(whole) - 1, 0))].view(np.int64) if len(whole) else 0, 0)
             # The anchors' postings bound what an intersection holds: so many at a time.
@@ -392,19 +393,18 @@ def search(spark: SparkSession, path: str, benchmark: DataFrame, window: int = W
     postings = materialise(held.mapInArrow(_taken, "block long, terms binary, sizes binary, gaps binary"), "benchmark-postings")
     counts = postings.select("terms", "sizes").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("count"))
     known = words.join(counts, "term").groupBy("segment").agg(F.collect_list(F.struct("place", "count")).alias("known"))  # a segment's words
-    chosen = materialise(distinct.join(known, "segment").mapInArrow(_with_counts, "segment long, terms binary, counts binary"), "benchmark-counts")
+    chosen = materialise(distinct.join(known, "segment").mapInArrow(_with_ranks, "segment long, terms binary, ranks binary"), "benchmark-ranks")
     rare = chosen.mapInArrow(_anchor_rows(window), "segment long, term long")
     blocks = postings.select("block", "terms").mapInArrow(_term_blocks, "term long, block long")
     sought = materialise(rare.join(blocks, "term").select("segment", "block").distinct(), "benchmark-blocks")
-    touched = postings.join(sought.select("block").distinct(), "block", "left_semi")
-    empty = {"kind": "int", "segment": "long", "terms": "binary", "sizes": "binary", "gaps": "binary", "counts": "binary", "doc_ids": "array<long>", "text_hashes": "array<long>", "n_words": "array<long>"}
+    empty = {"kind": "int", "segment": "long", "terms": "binary", "sizes": "binary", "gaps": "binary", "ranks": "binary", "doc_ids": "array<long>", "text_hashes": "array<long>", "n_words": "array<long>"}
 
     def row(df: DataFrame, kind: int, *columns: str) -> DataFrame:
         value = lambda c: F.lit(kind) if c == "kind" else F.col(c) if c in columns else F.lit(None).cast(empty[c])
         return df.select("block", *[value(c).alias(c) for c in empty])
 
-    rows = row(touched, 0, "terms", "sizes", "gaps").unionByName(row(stored.filter("bucket = -1"), 1, "doc_ids", "text_hashes", "n_words"))
-    rows = rows.unionByName(row(sought.join(chosen, "segment"), 2, "segment", "terms", "counts"))
+    rows = row(postings, 0, "terms", "sizes", "gaps").unionByName(row(stored.filter("bucket = -1"), 1, "doc_ids", "text_hashes", "n_words"))
+    rows = rows.unionByName(row(sought.join(chosen, "segment"), 2, "segment", "terms", "ranks"))
     found = materialise(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_match(window), _FOUND), "benchmark-found")
     hit = found.filter("size(found) > 0").select("block", "place", F.explode("found").alias("segment"))
     items = hit.join(wanted.select("segment", "item_id"), "segment").groupBy("block", "place").agg(F.collect_set("item_id").alias("items"))
