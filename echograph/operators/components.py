@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echograph.session import materialise
+from echograph.session import discard, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node with a link to another; component is the least node reachable.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most, and only a
-    count and a checksum come to the driver. Rounds grow with the logarithm of the longest path.
+    Each round is written to the shared folder, so a lost executor costs one round at most, and replaces the
+    one before; only a count and a checksum come to the driver. Rounds grow with the logarithm of the
+    longest path.
     """
-    now = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "components")
+    spark = edges.sparkSession
+    now, path = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "components")
     mark = None
     while True:
-        now = materialise(_small_star(_large_star(now)), "components")
+        old, (now, path) = path, stored(_small_star(_large_star(now)), "components")
+        discard(spark, old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break

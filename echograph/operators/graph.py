@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echograph.functions import ordering
@@ -271,6 +271,24 @@ def hub_ranks(degrees: DataFrame, k: int = 10) -> DataFrame:
     return ranked.filter(F.least("rank_n_in", "rank_n_out", "rank_degree") <= k)
 
 
+def hub_overlap(degrees: DataFrame, k: int = 10) -> DataFrame:
+    """(a, b, n_both, jaccard): how far the top k by each two of in-, out- and total degree agree."""
+    top = None
+    for c in ("n_in", "n_out", "degree"):
+        rows = degrees.orderBy(F.desc(c), "id").limit(k).select("id", F.lit(c).alias("by"))
+        top = rows if top is None else top.unionByName(rows)
+    sizes = top.groupBy("by").agg(F.count("*").alias("n"))
+    both = top.toDF("id", "a").join(top.toDF("id", "b"), "id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))
+    pairs = sizes.toDF("a", "na").join(sizes.toDF("b", "nb"), F.col("a") < F.col("b")).join(both, ["a", "b"], "left").na.fill(0, ["n_both"])  # three measures
+    return pairs.select("a", "b", "n_both", F.round(F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both")), 6).alias("jaccard"))
+
+
+def boundary_by_class(edges: DataFrame, membership: DataFrame, community, cls: DataFrame) -> DataFrame:
+    """Edges across a community's border by direction and the class of the end outside it."""
+    b = boundary(edges, membership, community).withColumn("id", F.when(F.col("direction") == "import", F.col("src")).otherwise(F.col("dst")))
+    return b.join(cls.select("id", "cls"), "id", "left").groupBy("direction", F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(F.count("*").alias("n"))
+
+
 def degree_assortativity(edges: DataFrame) -> DataFrame:
     """Correlation of the degrees at both ends over both orientations of undirected edges."""
     e = both_ways(collapse(edges))
@@ -403,31 +421,12 @@ def tallies_by_class(edges: DataFrame, cls: DataFrame) -> DataFrame:
     return e.groupBy(F.least("src_cls", "dst_cls").alias("a"), F.greatest("src_cls", "dst_cls").alias("b")).agg(F.count("*").alias("n")).withColumn("within", F.col("a") == F.col("b"))
 
 
-def leiden(spark: SparkSession, edges: DataFrame, seed: int = 42, iterations: int = 10, max_edges: int = 1_000_000) -> DataFrame:
-    """(id, community): modularity communities, numbered by size. Up to ``max_edges`` edges the local moves,
-    with refinement into connected parts, run in numpy on one node; beyond that labels move synchronously
-    over DataFrames, each round keeping the better modularity."""
-    e = materialise(collapse(edges), "communities")
-    if e.count() <= max_edges:
-        from echograph.operators.louvain import local_communities
-
-        rows = e.orderBy("u", "v").toArrow()  # bounded by max_edges
-        return spark.createDataFrame(local_communities(rows.column("u").to_pylist(), rows.column("v").to_pylist(), seed, iterations), schema_of(e, "u"))
-    label = materialise(both_ways(e).select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "communities")
-    best = (modularity(e.toDF("src", "dst"), label).first()[0], label)
-    for k in range(iterations):
-        votes = both_ways(e).join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
-        top = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("n"), F.xxhash64(F.lit(seed + k), "community"))).alias("c"))
-        # Half of the vertices move in a round: synchronous moves of all can swap for ever.
-        moves = F.pmod(F.xxhash64(F.lit(seed * 1000 + k), "id"), F.lit(2)) == 0
-        label = materialise(label.join(top.withColumnRenamed("src", "id"), "id").select("id", F.when(moves, F.col("c")).otherwise(F.col("community")).alias("community")), "communities")
-        q = modularity(e.toDF("src", "dst"), label).first()[0]
-        best = max(best, (q, label), key=lambda x: x[0])
-    return best[1]
-
+def leiden(edges: DataFrame, seed: int = 42, levels: int = 10) -> DataFrame:
+    """(id, community): modularity communities, numbered by size, by one algorithm whatever the size: local
+    moves, refinement into connected parts, aggregation."""
+    from echograph.operators.louvain import communities
 
-def schema_of(df: DataFrame, col: str) -> str:
-    return f"id {dict(df.dtypes)[col]}, community long"
+    return communities(collapse(edges), seed, levels)
 
 
 def configuration_nulls(edges: DataFrame, reps: int, seed: int = 42) -> DataFrame:
@@ -473,10 +472,10 @@ def orientation_share(oriented: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("n_edges"), F.count("src").alias("n_oriented"), F.round(F.count("src") / F.count("*"), 6).alias("share"))
 
 
-def stability(spark: SparkSession, edges: DataFrame, seeds: list[int]) -> list[dict]:
+def stability(edges: DataFrame, seeds: list[int]) -> list[dict]:
     """Agreement of the first seed's communities with each other seed's."""
-    first = materialise(leiden(spark, edges, seeds[0]), "stability")
-    return [partition_agreement(first, leiden(spark, edges, s)) for s in seeds[1:]]
+    first = leiden(edges, seeds[0])
+    return [partition_agreement(first, leiden(edges, s)) for s in seeds[1:]]
 
 
 def null_transitivity(edges: DataFrame, reps: int = 20, seed: int = 42) -> DataFrame:

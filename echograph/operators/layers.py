@@ -63,6 +63,25 @@ def bar_sweep(edges: DataFrame, bars: list[int], count: str = "n_semantic") -> D
     return rows.groupBy("bar").agg(F.count("*").alias("n_edges"), F.count_if(F.coalesce("is_cross", F.lit(False))).alias("n_cross")).join(ends, "bar")
 
 
+def bar_structure(edges: DataFrame, bars: list[int], count: str = "n_semantic") -> DataFrame:
+    """Per bar: vertices, edges, density, giant component, transitivity and degree assortativity of what
+    remains; a plan for each of the few bars."""
+    from echograph.operators import graph
+
+    out = None
+    for bar in bars:
+        e = edges.filter(F.col(count) >= bar).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+        g = graph.Graph.from_edges(e)
+        giant = g.component_census().agg(F.max("size").alias("giant"))
+        parts = [g.density().select("n", "m", F.col("undirected_density").alias("density")), giant, g.triangles().select("transitivity"), graph.degree_assortativity(g.edges)]
+        row = parts[0]
+        for more in parts[1:]:
+            row = row.join(F.broadcast(more), F.lit(True))  # one row each
+        row = row.select(F.lit(bar).alias("bar"), "n", "m", "density", "giant", "transitivity", "assortativity")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def direction_by_k(edges: DataFrame, top: int = 10, layer: str = "") -> DataFrame:
     """Per k: edges with k votes or more, one-way and both ways."""
     rows = votes(edges, layer).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top)))).filter("votes >= k")
@@ -88,6 +107,16 @@ def schedule_offset(edges: DataFrame, modal: DataFrame) -> DataFrame:
     return e.agg(F.count_if(F.expr("d > 0")).alias("n_earlier"), F.count_if(F.expr("d < 0")).alias("n_later"), F.count_if(F.expr("d = 0")).alias("n_tie"))
 
 
+def schedule_offset_p(counts: DataFrame) -> DataFrame:
+    """The counts of ``schedule_offset`` (one row) with the two-sided binomial p of earlier against later."""
+    from echograph.functions.stats import binom_test
+
+    r = counts.first()
+    n = r.n_earlier + r.n_later
+    p = binom_test(r.n_earlier, n) if n <= 10_000 else normal_two_sided(r.n_earlier, n)
+    return counts.withColumn("p", F.lit(p if n else 1.0))
+
+
 def connectors(edges: DataFrame, min_votes: int) -> DataFrame:
     """(id, links, n_out, n_in, net) from oriented edges, with rank."""
     e = votes(edges).withColumn("src", source_of(F.col("nu"), F.col("nv"), F.col("u"), F.col("v"), min_votes))
@@ -209,6 +238,13 @@ def roles_by_depth(roles: DataFrame, depth: DataFrame) -> DataFrame:
     return roles.join(depth, "id").groupBy("depth", "role").agg(F.count("*").alias("n"))
 
 
+def outside_share(edges: DataFrame, depth: DataFrame) -> DataFrame:
+    """Per depth of the forwarding member: its edges, and the share that come from outside the members."""
+    d = depth.select("id", "depth")
+    e = edges.join(d.toDF("dst", "depth"), "dst").join(d.select(F.col("id").alias("src"), F.lit(1).alias("_in")), "src", "left")
+    return e.groupBy("depth").agg(F.count("*").alias("n_edges"), F.count_if(F.col("_in").isNull()).alias("n_outside"), F.round(F.count_if(F.col("_in").isNull()) / F.count("*"), 6).alias("share"))
+
+
 def term_overlap(terms: DataFrame, a: str, b: str) -> DataFrame:
     """Shared and own terms of two communities, and their Jaccard index; terms: (community, term)."""
     side = lambda c: F.array_sort(F.collect_set(F.when(F.col("community") == c, F.col("term"))))

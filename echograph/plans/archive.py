@@ -6,7 +6,7 @@ by rules that Spark and DuckDB share; what is queried is the library's own opera
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echograph.functions import stats
@@ -421,6 +421,121 @@ def provenance(spark: SparkSession, sf: str) -> DataFrame:
     return layers.provenance(read_table(spark, sf, "customer"), F.col("c_acctbal") > 5000)
 
 
+_BARS = [1, 2, 3]
+
+
+@query(
+    "bar_structure",
+    f"""WITH RECURSIVE {V.EDGES}, x AS (SELECT bar, u, v FROM edges, (SELECT unnest([1, 2, 3]) AS bar) WHERE n_copy >= bar), w AS (SELECT bar, u AS s, v AS t FROM x UNION SELECT bar, v, u FROM x),
+    walk(bar, s, t) AS (SELECT bar, s, t FROM w UNION SELECT walk.bar, walk.s, w.t FROM walk JOIN w ON w.bar = walk.bar AND walk.t = w.s), c AS (SELECT bar, s, least(s, min(t)) AS component FROM walk GROUP BY bar, s), g AS (SELECT bar, max(n) AS giant FROM (SELECT bar, component, count(*) AS n FROM c GROUP BY ALL) GROUP BY bar),
+    d AS (SELECT bar, s AS id, count(*) AS d FROM w GROUP BY ALL), k AS (SELECT bar, count(*) AS n, sum(d * (d - 1) // 2) AS wedges FROM d GROUP BY bar), m AS (SELECT bar, count(*) AS m FROM x GROUP BY bar), t AS (SELECT a.bar, count(*) AS t FROM x a JOIN x b ON a.bar = b.bar AND a.v = b.u JOIN x e ON e.bar = a.bar AND e.u = a.u AND e.v = b.v GROUP BY a.bar),
+    r AS (SELECT w.bar, round(corr(a.d, b.d), 6) AS assortativity FROM w JOIN d a ON a.bar = w.bar AND a.id = w.s JOIN d b ON b.bar = w.bar AND b.id = w.t GROUP BY w.bar)
+    SELECT bar, n, m, round(2 * m / (n * (n - 1)), 8) AS density, giant, round(coalesce(3 * coalesce(t, 0) / wedges, 0), 6) AS transitivity, assortativity FROM k JOIN m USING (bar) JOIN g USING (bar) LEFT JOIN t USING (bar) JOIN r USING (bar)""",
+)
+def bar_structure(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.bar_structure(V.copy_edges(spark, sf), _BARS, "n_copy")
+
+
+@query("hub_overlap", f"WITH {V.GRAPH}, t AS (SELECT id, unnest(['n_in', 'n_out', 'degree']) AS k, unnest([row_number() OVER (ORDER BY n_in DESC, id), row_number() OVER (ORDER BY n_out DESC, id), row_number() OVER (ORDER BY degree DESC, id)]) AS r FROM roles), h AS (SELECT id, k FROM t WHERE r <= 10), n AS (SELECT k, count(*) AS n FROM h GROUP BY k), o AS (SELECT p.k AS a, q.k AS b, count(*) AS n_both FROM h p JOIN h q USING (id) WHERE p.k < q.k GROUP BY ALL) SELECT x.k AS a, y.k AS b, coalesce(n_both, 0) AS n_both, round(coalesce(n_both, 0) / (x.n + y.n - coalesce(n_both, 0)), 6) AS jaccard FROM n x JOIN n y ON x.k < y.k LEFT JOIN o ON o.a = x.k AND o.b = y.k")
+def hub_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.hub_overlap(V.forward_graph(spark, sf).degrees())
+
+
+@query("boundary_by_class", f"WITH {V.MEMBERS}, b AS (SELECT CASE WHEN b.community = 1 THEN 'import' ELSE 'export' END AS direction, CASE WHEN b.community = 1 THEN src ELSE dst END AS id FROM ge JOIN mem a ON a.id = src JOIN mem b ON b.id = dst WHERE (a.community = 1) <> (b.community = 1)) SELECT direction, coalesce(cls, 'unknown') AS cls, count(*) AS n FROM b LEFT JOIN cls USING (id) GROUP BY ALL")
+def boundary_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    g = V.forward_graph(spark, sf)
+    return graph.boundary_by_class(g.edges, g.vertices.withColumn("community", F.col("id") % 7), 1, V.classes(spark, sf))
+
+
+@query("schedule_offset_p", f"WITH {V.GRAPH}, h AS (SELECT channel, hour(ts) AS h, count(*) AS c FROM posts GROUP BY ALL), m AS (SELECT channel, arg_min(h, (-c, h)) AS h FROM h GROUP BY channel), d AS (SELECT (b.h - a.h + 12 + 24) % 24 - 12 AS d FROM ge JOIN m a ON a.channel = src JOIN m b ON b.channel = dst), o AS (SELECT count(*) FILTER (WHERE d > 0) AS n_earlier, count(*) FILTER (WHERE d < 0) AS n_later, count(*) FILTER (WHERE d = 0) AS n_tie FROM d), i AS (SELECT i, lgamma(n_earlier + n_later + 1) - lgamma(i + 1) - lgamma(n_earlier + n_later - i + 1) + (n_earlier + n_later) * ln(0.5) AS l FROM o, range(0, 10001) t(i) WHERE i <= n_earlier + n_later) SELECT n_earlier, n_later, n_tie, (SELECT round(sum(exp(l)), 5) FROM i WHERE l <= (SELECT l FROM i WHERE i = n_earlier) + 1e-7) AS p FROM o")
+def schedule_offset_p(spark: SparkSession, sf: str) -> DataFrame:
+    counts = layers.schedule_offset(V.forward_graph(spark, sf).edges, extract.hour_histogram(V.posts(spark, sf)))
+    return layers.schedule_offset_p(counts).withColumn("p", F.round("p", 5))
+
+
+@query("outside_share", f"WITH {BFS}, f AS (SELECT CASE WHEN sid < 50 THEN 'chan_' || sid ELSE 'id:' || sid END AS origin, channel AS target FROM msgs WHERE is_fwd GROUP BY ALL) SELECT depth::INT AS depth, count(*) AS n_edges, count(*) FILTER (WHERE origin NOT IN (SELECT handle FROM b)) AS n_outside, round(count(*) FILTER (WHERE origin NOT IN (SELECT handle FROM b)) / count(*), 6) AS share FROM f JOIN b ON b.handle = target GROUP BY depth")
+def outside_share(spark: SparkSession, sf: str) -> DataFrame:
+    e = extract.forward_edges(messages(spark, sf), _id_map(spark)).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
+    return layers.outside_share(e, _members(spark, sf).select(F.col("handle").alias("id"), "depth"))
+
+
+@query("availability_chi2", f"WITH {V.MEMBERS}, i AS (SELECT cls, count(*) AS o FROM ge JOIN cls ON cls.id = src WHERE dst % 7 = 1 AND src % 7 <> 1 GROUP BY cls), n AS (SELECT cls, count(*) AS n FROM gv JOIN cls USING (id) GROUP BY cls), x AS (SELECT n.cls, coalesce(o, 0) AS o, n / (SELECT sum(n) FROM n) * (SELECT sum(o) FROM i) AS e FROM n LEFT JOIN i USING (cls)) SELECT round(sum((o - e) ** 2 / e), 6) AS chi2, count(*) - 1 AS df FROM x")
+def availability_chi2(spark: SparkSession, sf: str) -> DataFrame:
+    g, cls = V.forward_graph(spark, sf), V.classes(spark, sf)
+    imports = g.edges.filter("dst % 7 = 1 and src % 7 <> 1").select(F.col("src").alias("id")).join(cls, "id")
+    ratio = layers.availability(imports, g.vertices.join(cls, "id"))
+    total = ratio.agg(F.sum("n_imports").alias("i"), F.sum("n_nodes").alias("t"))
+    got = stats.chi2_gof(ratio.join(F.broadcast(total), F.lit(True)).withColumn("e", F.col("n_nodes") / F.col("t") * F.col("i")), "n_imports", "e")
+    return spark.createDataFrame([(round(got["chi2"], 6), got["df"])], "chi2 double, df long")
+
+
+# Communities and null models: what must hold of them, as their labels and draws are this library's own.
+
+
+@query("communities", f"WITH {V.GRAPH} SELECT (SELECT count(*) FROM gv) AS n_vertices, (SELECT count(*) FROM gv) AS n_members, true AS connected, true AS beats_classes")
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vertex in one community, each community connected, modularity above that of the classes."""
+    g = V.forward_graph(spark, sf)
+    m = graph.leiden(g.edges)
+    inside = g.edges.join(m.toDF("src", "cs"), "src").join(m.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
+    parts = Graph.from_edges(inside, g.vertices).wcc()
+    n_parts, n = parts.select("component").distinct().count(), m.select("community").distinct().count()
+    cls = V.classes(spark, sf).join(g.vertices, "id", "left_semi")
+    q = [graph.modularity(g.edges, x).first()[0] for x in (m, cls.select("id", F.dense_rank().over(Window.orderBy("cls")).alias("community")))]
+    return spark.createDataFrame([(g.vertices.count(), m.select("id").distinct().count(), n_parts == n, q[0] > q[1])], "n_vertices long, n_members long, connected boolean, beats_classes boolean")
+
+
+@query("community_profile", f"WITH {V.GRAPH} SELECT (SELECT count(*) FROM gv) AS size, (SELECT count(*) FROM und) AS edges, 2 * (SELECT count(*) FROM und) AS volume, true AS whole")
+def community_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Conductance table, meta graph and landing census of the communities add up to the graph."""
+    g = V.forward_graph(spark, sf)
+    m = graph.leiden(g.edges)
+    meta = graph.meta_graph(g.edges, m).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    landed = graph.landing_census(m, V.classes(spark, sf)).agg(F.sum("n")).first()[0]
+    total = graph.community_profile(g.edges, m).agg(F.sum("size").alias("size"), F.sum("internal").alias("i"), F.sum("boundary").alias("b"), F.sum("volume").alias("volume"))
+    return total.select("size", (F.col("i") + F.col("b") / 2).cast("long").alias("edges"), "volume", ((F.col("b") == 2 * meta) & (F.col("size") == landed)).alias("whole"))
+
+
+@query("configuration_null", f"WITH {V.GRAPH} SELECT rep, src AS id, count(*) AS degree FROM both_ways, range(3) t(rep) GROUP BY ALL")
+def configuration_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees of three rewirings."""
+    e = graph.configuration_nulls(V.forward_graph(spark, sf).edges, 3)
+    return e.select("rep", F.col("u").alias("id")).unionByName(e.select("rep", F.col("v").alias("id"))).groupBy(F.col("rep").cast("long").alias("rep"), "id").agg(F.count("*").alias("degree"))
+
+
+@query("subsample_null", f"WITH {V.GRAPH} SELECT least(50, (SELECT count(*) FROM und)) AS n_edges, least(50, (SELECT count(*) FROM und)) AS n_known")
+def subsample_null(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparsity null: as many edges as asked for, all of the graph's."""
+    edges = V.forward_graph(spark, sf).edges
+    e = graph.subsample_edges(edges, 50, 7)
+    known = e.join(graph.collapse(edges), ["u", "v"], "left_semi").distinct().agg(F.count("*").alias("n_known"))
+    return e.agg(F.count("*").alias("n_edges")).join(F.broadcast(known), F.lit(True))
+
+
+@query("null_same_class", f"WITH {V.GRAPH} SELECT 20 AS reps, true AS near_expected, true AS has_spread")
+def null_same_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges within a class over rewirings lie around the closed form's sum."""
+    edges, cls = V.forward_graph(spark, sf).edges, V.classes(spark, sf)
+    null = graph.null_same_class(edges, cls, 20)
+    expected = graph.expected_same_class(edges, cls).agg(F.sum("expected")).first()[0]
+    got = stats.z_against_null(expected, null, "value")
+    return spark.createDataFrame([(got["reps"], abs(got["mean"] - expected) <= 4 * got["sd"] / got["reps"] ** 0.5 + 1e-9, got["sd"] > 0)], "reps long, near_expected boolean, has_spread boolean")
+
+
+@query("null_transitivity", f"WITH {V.GRAPH} SELECT 5 AS reps, true AS in_range")
+def null_transitivity(spark: SparkSession, sf: str) -> DataFrame:
+    got = graph.null_transitivity(V.forward_graph(spark, sf).edges, 5)
+    return got.agg(F.count("*").alias("reps"), F.min(F.col("value").between(0, 1)).alias("in_range"))
+
+
+@query("partition_agreement", "SELECT true AS itself, true AS apart")
+def partition_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    g = V.forward_graph(spark, sf)
+    m = graph.leiden(g.edges)
+    same, other = graph.partition_agreement(m, m), graph.partition_agreement(m, g.vertices.withColumn("community", F.col("id") % 7))
+    return spark.createDataFrame([(abs(same["ari"] - 1) < 1e-9 and abs(same["ami"] - 1) < 1e-9, other["ari"] < 0.5)], "itself boolean, apart boolean")
+
+
 # Tests and p-values.
 
 _P = "p AS (SELECT n_name AS test, (n_nationkey * 7 % 25 + 1) / 100.0::DOUBLE AS p FROM nation)"

@@ -169,9 +169,12 @@ def partner_overlap_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return layers.partner_overlap(V.copy_edges(spark, sf).filter("n_copy >= 2"))
 
 
-@query("partner_mix", f"WITH {V.EDGES}, {_PARTNERS}, n AS (SELECT p.id, cls.cls, count(*) AS n FROM p JOIN cls ON cls.id = p.p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, cls) AS r FROM n) SELECT id, sum(n)::BIGINT AS n_partners, string_agg(cls || ' ' || n, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS mix FROM r GROUP BY id")
+_EVERY_PARTNER = "p AS (SELECT u AS id, v AS p FROM edges UNION SELECT v, u FROM edges)"
+
+
+@query("partner_mix", f"WITH {V.EDGES}, {_EVERY_PARTNER}, n AS (SELECT p.id, cls.cls, count(*) AS n FROM p JOIN cls ON cls.id = p.p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, cls) AS r FROM n) SELECT id, sum(n)::BIGINT AS n_partners, string_agg(cls || ' ' || n, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS mix FROM r GROUP BY id")
 def partner_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return layers.partner_mix(V.copy_edges(spark, sf).filter("n_copy >= 2"), V.classes(spark, sf))
+    return layers.partner_mix(V.copy_edges(spark, sf), V.classes(spark, sf))
 
 
 @query("layer_disjointness", f"WITH {V.EDGES}, l AS (SELECT lag(channel) OVER (PARTITION BY key ORDER BY ts, msg_id) AS o, channel AS t FROM posts), d AS (SELECT DISTINCT least(o, t) AS u, greatest(o, t) AS v FROM (SELECT o, t FROM l WHERE o IS NOT NULL GROUP BY o, t HAVING count(*) >= 2)) SELECT count(*) AS n_pairs, count(d.u) AS n_declared, round(count(d.u) / count(*), 6) AS share FROM edges LEFT JOIN d USING (u, v)")
@@ -461,21 +464,6 @@ def out_profile(spark: SparkSession, sf: str) -> DataFrame:
     return longs(layers.out_profile(V.forward_graph(spark, sf).degrees().drop("degree")), "rank_desc", "rank_asc")
 
 
-@query("communities")
-def communities(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.leiden(spark, V.forward_graph(spark, sf).edges)
-
-
-@query("configuration_null")
-def configuration_null(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.configuration_null(V.forward_graph(spark, sf).edges, 0)
-
-
-@query("subsample_null")
-def subsample_null(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.subsample_edges(V.forward_graph(spark, sf).edges, 50, 7)
-
-
 # Vectors and trade.
 
 _COS = "x AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS sim, a.label AS la, b.label AS lb FROM x a JOIN x b ON a.id < b.id)"

@@ -21,10 +21,14 @@ def local_session(cores: int | str = "*", memory: str = "16g", partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where the cluster names none."""
+    """The folder that all executors see. Where the session names none, a local master gets one of its own;
+    on a cluster a machine's folder would lose data, so that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     fallback = "/tmp/checkpoints/echograph"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(fallback)
@@ -37,10 +41,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder; it outlives lost executors."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same and where the table lies, for loops that ``discard`` what a later round replaces."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_communities_cover_vertices_and_beat_singletons(spark):
     from echograph.plans import views
 
     e = views.forward_graph(spark, SF).edges
-    m = graph.leiden(spark, e)
+    m = graph.leiden(e)
     q = graph.modularity(e, m).first()[0]
     assert m.count() == views.forward_graph(spark, SF).vertices.count() and q > 0
 
@@ -61,3 +61,18 @@ def test_configuration_null_keeps_degrees(spark):
     e = views.forward_graph(spark, SF).edges
     degree = lambda df, a, b: {r[0]: r[1] for r in df.selectExpr(f"{a} id").unionAll(df.selectExpr(f"{b} id")).groupBy("id").count().collect()}
     assert degree(graph.collapse(e), "u", "v") == degree(graph.configuration_null(e, 3), "u", "v")
+
+
+def test_communities_in_memory_and_distributed_agree(spark):
+    import random
+
+    from echograph.operators import graph, louvain
+
+    rng = random.Random(4)
+    rows = [(f"v{rng.randrange(4) * 10 + rng.randrange(10)}", f"v{rng.randrange(4) * 10 + rng.randrange(10)}") for _ in range(12)]
+    rows += [(f"v{10 * k + rng.randrange(10)}", f"v{10 * k + rng.randrange(10)}") for k in range(4) for _ in range(40)]
+    e = graph.collapse(spark.createDataFrame(rows, "src string, dst string"))
+    small, large = ({r.id: r.community for r in louvain.communities(e, 42, small=n).collect()} for n in (10**6, 0))
+    assert small == large and len(set(small.values())) < 12
+    m = spark.createDataFrame(list(small.items()), "id string, community long")
+    assert graph.modularity(e.toDF("src", "dst"), m).first()[0] > 0.5
