@@ -6,7 +6,9 @@ intersecting and uniting postings, and runs the regex over the whole text of the
 Rules without mandatory trigrams scan every text. Nothing shuffles.
 
 Base kinds come first; further kinds add spans. A null text is empty, repeated rows get equal rows,
-an empty table gives none, other columns are not read.
+an empty table gives none. Spans that start together are told apart by the order of the kinds. A text of
+any length is scanned whole, as a block of its own if need be. Other columns, whatever their names, are
+not read, and ``redact`` returns them as they are.
 """
 
 from __future__ import annotations

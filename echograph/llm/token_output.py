@@ -7,7 +7,9 @@ together, and renormalised 32-bit words lie in the order in which decoding wants
 block carries the crc32 of its ids. Segments are rows of a Parquet table, written and read by Spark.
 
 Documents are written in ascending (doc_id, text hash) order, null ids first; a null text is empty;
-repeated rows are written each. An empty table gives no rows.
+repeated rows are written each, and ties among them are rows alike. A text of any length is encoded whole;
+a segment closes after the document that fills it. Other columns, whatever their names, are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LANES = 2048
 BLOCK = 1 << 18
 CHECKPOINT = 64
 SEGMENT = 1 << 21
+#: Bytes of text that one range of doc_ids holds, about.
+PART_BYTES = 256 << 20
 _SEGMENT = struct.Struct("<4sIII")
 _BLOCK = struct.Struct("<IIIIII")
 
@@ -180,10 +184,12 @@ def _encode_rows(path: str, end_id: int, segment_tokens: int):
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT) -> None:
-    """Write the ids of ``docs`` (doc_id, text) below ``path``, a part for each range of doc_id. A
-    text hash breaks ties, so that repeated ids can be dealt to several parts."""
+    """Write the ids of ``docs`` (doc_id, text) below ``path``, a part for each range of doc_id, as many as
+    the bytes of the texts ask for and at least as many as a shuffle has. A text hash breaks ties, so that
+    repeated ids can be dealt to several parts."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows.mapInArrow(_encode_rows(vocabulary or vocabulary_path(), end_id, segment_tokens), _WRITTEN).write.parquet(path)

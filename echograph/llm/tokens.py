@@ -123,10 +123,12 @@ _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str, cached_units: int = CACHED_UNITS) -> UnitEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path, cached_units)
-    return _encoders[path]
+    """One encoder for each vocabulary and Python worker; a smaller cache than it has empties it."""
+    have = _encoders.get(path)
+    if have is None or len(have.cache) > cached_units:
+        have = _encoders[path] = UnitEncoder(path, cached_units)
+    have.limit = cached_units
+    return have
 
 
 def text_blocks(texts: list[str], max_chars: int):
