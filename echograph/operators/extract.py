@@ -149,11 +149,11 @@ def language_map(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def duplicate_clusters(posts: DataFrame, min_chars: int = 80) -> DataFrame:
-    """(hash, n_channels, n_msgs, occurrences): normalised texts of min_chars or more found in two channels
-    or more. Groups with one channel go before occurrences are gathered."""
+    """(hash, n_channels, n_msgs, channel, msg_id): normalised texts of min_chars or more found in two
+    channels or more, a row for each occurrence, so that a text of any number of posts fits."""
     rows = posts.withColumn("norm", T.normalise(F.col("text"))).filter(F.length("norm") >= min_chars).select(F.md5("norm").alias("hash"), "channel", "msg_id")
     shared = rows.groupBy("hash").agg(F.count_distinct("channel").alias("n_channels"), F.count("*").alias("n_msgs")).filter("n_channels >= 2")
-    return rows.join(shared, "hash").groupBy("hash", "n_channels", "n_msgs").agg(F.array_sort(F.collect_list(F.struct("channel", "msg_id"))).alias("occurrences"))
+    return rows.join(shared, "hash").select("hash", "n_channels", "n_msgs", "channel", "msg_id")
 
 
 def unique_texts(posts: DataFrame, min_chars: int = 100, truncate: int = 400) -> tuple[DataFrame, DataFrame]:

@@ -204,10 +204,9 @@ def dominant_class(spark: SparkSession, sf: str) -> DataFrame:
 # Texts of the documents.
 
 
-@query("dupe_clusters", f"WITH {V.DOCS} SELECT md5(norm) AS hash, count(DISTINCT channel) AS n_channels, count(*) AS n_msgs, string_agg(channel || '/' || msg_id, ',' ORDER BY channel, msg_id) AS occurrences FROM docs WHERE length(norm) >= 80 GROUP BY 1 HAVING count(DISTINCT channel) >= 2")
+@query("dupe_clusters", f"WITH {V.DOCS}, h AS (SELECT md5(norm) AS hash, channel, msg_id FROM docs WHERE length(norm) >= 80), n AS (SELECT hash, count(DISTINCT channel) AS n_channels, count(*) AS n_msgs FROM h GROUP BY hash HAVING count(DISTINCT channel) >= 2) SELECT hash, n_channels, n_msgs, channel, msg_id FROM h JOIN n USING (hash)")
 def dupe_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    d = extract.duplicate_clusters(V.docs(spark, sf))
-    return d.withColumn("occurrences", F.array_join(F.transform("occurrences", lambda o: F.concat(o["channel"], F.lit("/"), o["msg_id"].cast("string"))), ","))
+    return extract.duplicate_clusters(V.docs(spark, sf))
 
 
 @query("corpus_dedup_counts", "WITH k AS (SELECT md5(lower(trim(regexp_replace(substr(text, 1, 400), '[\\s\\p{Z}]+', ' ', 'g')))) AS key FROM documents WHERE length(text) >= 100) SELECT count(*) AS n_texts, count(DISTINCT key) AS n_unique FROM k")
