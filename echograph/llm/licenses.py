@@ -123,11 +123,12 @@ def document_counts(docs: DataFrame) -> dict[str, int]:
 
 def rare_postings(counts: dict[str, int]) -> list[tuple[str, int, int, int]]:
     """(word, template, place, places in all) of each template's rarest words. The fewer documents hold
-    a word the higher its inverse document frequency; a common word ranks last, none is left out for it."""
+    a word the higher its inverse document frequency; a common word ranks last, none is left out for it.
+    Words that no document has tell nothing and only fill up."""
     out = []
     for t, (_, text, _) in enumerate(TEMPLATES):
         words = template_words(text)
-        rare = set(sorted(set(words), key=lambda w: (counts.get(w, 0), w))[:RARE_WORDS])
+        rare = set(sorted(set(words), key=lambda w: (w not in counts, counts.get(w, 0), w))[:RARE_WORDS])
         places = [(w, i) for i, w in enumerate(words) if w in rare]
         out += [(w, t, i, len(places)) for w, i in places]
     return out

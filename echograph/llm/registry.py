@@ -67,7 +67,7 @@ base AS (SELECT rid, pos, label FROM grams JOIN phrases ON phrase = CASE size WH
 bases AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY rid),
 places AS (SELECT template, unnest(string_split(body, ' ')) AS w, generate_subscripts(string_split(body, ' '), 1) - 1 AS tpos FROM templates),
 df AS (SELECT w, count(DISTINCT rid) AS n FROM t WHERE w IN (SELECT w FROM places) GROUP BY w),
-ranked AS (SELECT template, w, row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), w) AS rank FROM (SELECT DISTINCT template, w FROM places) LEFT JOIN df USING (w)),
+ranked AS (SELECT template, w, row_number() OVER (PARTITION BY template ORDER BY n IS NULL, n, w) AS rank FROM (SELECT DISTINCT template, w FROM places) LEFT JOIN df USING (w)),
 rare AS (SELECT *, count(*) OVER (PARTITION BY template) AS of FROM places JOIN ranked USING (template, w) WHERE rank <= {licenses.RARE_WORDS}),
 keyed AS (SELECT DISTINCT rid, template FROM (SELECT rid, ' ' || array_to_string(ws, ' ') || ' ' AS norm FROM d) JOIN keys ON contains(norm, ' ' || phrase || ' ')),
 offsets AS (SELECT rid, template, of, tpos, pos - tpos AS o FROM t JOIN rare USING (w) JOIN keyed USING (rid, template)),

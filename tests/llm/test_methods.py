@@ -38,7 +38,7 @@ def plain_licences(rows):
             if not any(f" {k} " in norm for k in keys):
                 continue
             body = licenses.template_words(text)
-            rare = sorted(set(body), key=lambda w: (df[w], w))[: licenses.RARE_WORDS]
+            rare = sorted(set(body), key=lambda w: (not df[w], df[w], w))[: licenses.RARE_WORDS]
             places = [(w, p) for p, w in enumerate(body) if w in rare]
             bins = defaultdict(set)
             for at, w in enumerate(ws):
