@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from echograph.llm.bytewords import Words, among, as_long, pack, pack_rows, unpack, window_hashes
 from echograph.llm.quality import row_key
 from echograph.llm.tokens import text_blocks
-from echograph.session import materialise, new_path
+from echograph.session import discard, materialise, new_path
+from echograph.session import stored as stored_table
 
 WINDOW = 10
 SLOP = 5
@@ -380,9 +381,16 @@ def _match(window: int):
     return run
 
 
-def search(spark: SparkSession, path: str, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def search(spark: SparkSession, path: str, benchmark: DataFrame, window: int = WINDOW, scratch: list[str] | None = None) -> DataFrame:
     """Per document of the index below ``path``: block, place, doc_id, text_hash, n_words, n_hit, items
-    (the ids of items with exact windows there) and n_near."""
+    (the ids of items with exact windows there) and n_near. ``scratch`` is told the tables written."""
+
+    def materialise(df: DataFrame, name: str) -> DataFrame:
+        table, at = stored_table(df, name)
+        if scratch is not None:
+            scratch.append(at)
+        return table
+
     wanted = materialise(segments(benchmark, window), "benchmark-segments")
     stored = spark.read.schema(_STORED).parquet(path)
     distinct = wanted.select("segment", "terms").distinct()
@@ -428,7 +436,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     path = new_path(spark, "positional-index")
     write_index(docs, path)
     key = row_key(F.lit(None))[0]
-    bad = search(spark, path, benchmark, window).filter("n_hit > 0").select(key.alias("b_id"), F.col("text_hash").alias("b_text")).distinct()
+    scratch = [path]
+    bad = search(spark, path, benchmark, window, scratch).filter("n_hit > 0").select(key.alias("b_id"), F.col("text_hash").alias("b_text")).distinct()
+    bad = materialise(bad, "contaminated")  # stored, so that its size is measured, and what it came from can go
+    for gone in scratch:
+        discard(spark, gone)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("text")))
     return rows.join(bad, (rows["_id"] == bad["b_id"]) & (rows["_text"] == bad["b_text"]), "left_anti").select("row.*")
 
