@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from echograph.operators.graph import same_class_moments
 from echograph.plans import archive, catalog  # noqa: F401  (archive adds its queries to the catalog)
 
 #: Who hands over to whom, three times each, and who is of another class than the rest.
@@ -19,7 +20,7 @@ GRAPHS = {
     "imports": ([(2, 8), (3, 15)], (3,)),
     "star": ([(1, 2), (1, 3), (1, 4), (1, 5)], (1,)),
 }
-QUERIES = ["communities"]
+QUERIES = ["communities", "null_same_class"]
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,23 @@ def test_query_equals_sql(spark, events, name, graph):
     want = con.execute(catalog.SQL[name])
     columns = [d[0] for d in want.description]
     assert values(catalog.QUERIES[name](spark, f"{events}/{graph}").select(columns).collect()) == values(want.fetchall())
+
+
+def test_moments_of_edges_within_classes(spark):
+    """Against all pairings of the ends of a small graph."""
+    edges = [(1, 2), (1, 3), (2, 3), (3, 4)]
+    cls = {1: "a", 2: "a", 3: "b"}  # 4 has none
+
+    def pairings(ends):
+        if not ends:
+            yield 0
+        for k in range(1, len(ends)):
+            same = ends[0] is not None and ends[0] == ends[k]
+            for rest in pairings(ends[1:k] + ends[k + 1 :]):
+                yield same + rest
+
+    found = list(pairings([cls.get(v) for e in edges for v in e]))
+    mean = sum(found) / len(found)
+    variance = sum((x - mean) ** 2 for x in found) / len(found)
+    frame = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(list(cls.items()), "id long, cls string")
+    assert same_class_moments(*frame) == pytest.approx((mean, variance))
