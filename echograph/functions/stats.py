@@ -116,8 +116,12 @@ def upper_gamma(a: float, x: float) -> float:
 
 
 def chi2_gof(df: DataFrame, observed: str, expected: str) -> dict:
-    row = df.agg(F.sum((F.col(observed) - F.col(expected)) ** 2 / F.col(expected)).alias("x"), F.count("*").alias("k")).first()
-    return {"chi2": row.x, "df": row.k - 1, "p": upper_gamma((row.k - 1) / 2, row.x / 2)}
+    """Chi-square of observed against expected counts. What was not expected at all is infinitely far off if
+    observed; a row without an expected count adds nothing, and no such counts give neither chi2 nor p."""
+    term = F.when(F.col(expected) != 0, F.try_divide((F.col(observed) - F.col(expected)) ** 2, F.col(expected))).when((F.col(expected) == 0) & (F.col(observed) != 0), F.lit(math.inf))
+    row = df.agg(F.sum(term).alias("x"), F.count("*").alias("k")).first()
+    p = None if row.x is None else 0.0 if math.isinf(row.x) else upper_gamma((row.k - 1) / 2, row.x / 2)
+    return {"chi2": row.x, "df": row.k - 1, "p": p}
 
 
 def binom_test(k: int, n: int, p: float = 0.5) -> float:

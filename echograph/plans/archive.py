@@ -465,8 +465,9 @@ def availability_chi2(spark: SparkSession, sf: str) -> DataFrame:
     imports = g.edges.filter("dst % 7 = 1 and src % 7 <> 1").select(F.col("src").alias("id")).join(cls, "id")
     ratio = layers.availability(imports, g.vertices.join(cls, "id"))
     total = ratio.agg(F.sum("n_imports").alias("i"), F.sum("n_nodes").alias("t"))
-    got = stats.chi2_gof(ratio.join(F.broadcast(total), F.lit(True)).withColumn("e", F.col("n_nodes") / F.col("t") * F.col("i")), "n_imports", "e")
-    return spark.createDataFrame([(round(got["chi2"], 6), got["df"])], "chi2 double, df long")
+    expected = F.col("n_nodes") / F.col("t") * F.nullif("i", F.lit(0))  # without imports there is nothing to expect
+    got = stats.chi2_gof(ratio.join(F.broadcast(total), F.lit(True)).withColumn("e", expected), "n_imports", "e")
+    return spark.createDataFrame([(None if got["chi2"] is None else round(got["chi2"], 6), got["df"])], "chi2 double, df long")
 
 
 # Communities and null models: what must hold of them, as their labels and draws are this library's own.

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from echograph.functions import stats
 from echograph.operators.graph import same_class_moments
 from echograph.plans import archive, catalog  # noqa: F401  (archive adds its queries to the catalog)
 
@@ -20,7 +21,7 @@ GRAPHS = {
     "imports": ([(2, 8), (3, 15)], (3,)),
     "star": ([(1, 2), (1, 3), (1, 4), (1, 5)], (1,)),
 }
-QUERIES = ["communities", "null_same_class"]
+QUERIES = ["communities", "null_same_class", "availability_chi2"]
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,10 @@ def test_moments_of_edges_within_classes(spark):
     variance = sum((x - mean) ** 2 for x in found) / len(found)
     frame = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(list(cls.items()), "id long, cls string")
     assert same_class_moments(*frame) == pytest.approx((mean, variance))
+
+
+def test_chi_square_without_expected_counts(spark):
+    gof = lambda rows: stats.chi2_gof(spark.createDataFrame(rows, "o double, e double"), "o", "e")
+    assert gof([]) == {"chi2": None, "df": -1, "p": None}
+    assert gof([(0.0, None), (0.0, None)]) == {"chi2": None, "df": 1, "p": None}
+    assert gof([(2.0, 0.0), (1.0, 3.0)]) == {"chi2": math.inf, "df": 1, "p": 0.0}
