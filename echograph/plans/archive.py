@@ -490,12 +490,15 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("community_profile", f"WITH {V.GRAPH} SELECT (SELECT count(*) FROM gv) AS size, (SELECT count(*) FROM und) AS edges, 2 * (SELECT count(*) FROM und) AS volume, true AS whole")
 def community_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Conductance table, meta graph and landing census of the communities add up to the graph."""
+    """Conductance table, meta graph and landing census of the communities add up to the graph, an empty one
+    included."""
     g = V.forward_graph(spark, sf)
+    g = Graph(materialise(g.vertices, "profile"), materialise(g.edges, "profile"))
     m = graph.leiden(g.edges)
     meta = graph.meta_graph(g.edges, m).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    landed = graph.landing_census(m, V.classes(spark, sf)).agg(F.sum("n")).first()[0]
-    total = graph.community_profile(g.edges, m).agg(F.sum("size").alias("size"), F.sum("internal").alias("i"), F.sum("boundary").alias("b"), F.sum("volume").alias("volume"))
+    landed = graph.landing_census(m, V.classes(spark, sf)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    summed = {"size": "size", "internal": "i", "boundary": "b", "volume": "volume"}
+    total = graph.community_profile(g.edges, m).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in summed.items()])
     return total.select("size", (F.col("i") + F.col("b") / 2).cast("long").alias("edges"), "volume", ((F.col("b") == 2 * meta) & (F.col("size") == landed)).alias("whole"))
 
 

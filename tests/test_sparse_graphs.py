@@ -21,7 +21,7 @@ GRAPHS = {
     "imports": ([(2, 8), (3, 15)], (3,)),
     "star": ([(1, 2), (1, 3), (1, 4), (1, 5)], (1,)),
 }
-QUERIES = ["communities", "null_same_class", "availability_chi2", "degree_assortativity", "null_transitivity", "triangles_transitivity"]
+QUERIES = ["communities", "null_same_class", "availability_chi2", "degree_assortativity", "null_transitivity", "triangles_transitivity", "community_profile"]
 
 
 @pytest.fixture(scope="module")
