@@ -13,8 +13,8 @@ rounds.
 
 Equal texts share one fingerprint and count once in the search. Buckets over ``BUCKET`` fingerprints are
 dealt out as pairs of parts, so no task holds or compares more than two parts at a time; of a large bucket
-only edges that span its components (of ``near_duplicates``), or to the nearest members (of
-``near_copies``), leave the task.
+only edges that span its components leave the task. ``near_copies`` tries the nearest members of a large
+bucket first; whatever the links found so far leave apart there is then compared in full.
 
 A null or empty text has fingerprint zero, which links like any other. Repeated rows link. Ties for the
 row that stays go to the least id, text hash and then row as JSON. A null doc_id counts for no component
@@ -50,6 +50,8 @@ COPY_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE = 18
 BANDS, BAND = 8, 3
+#: Texts of a large bucket on either side of a task that compares what is still apart.
+PART = 512
 
 
 def shingle_hashes(text: str, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -351,9 +353,86 @@ def _alike(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+def _across(radius: int, similarity: float):
+    """Links between texts with different roots, of sorted groups (band, key, p, q): each text that asks is
+    held against all others of its group within the radius, nearest first, as long as links found here leave
+    the two apart. Texts that share no root have been compared in full when a group is done."""
+
+    def edges(asks: np.ndarray, text: np.ndarray, fp: np.ndarray, root: np.ndarray, held: list[np.ndarray]) -> tuple[list, list]:
+        u, v = [], []
+        label, size = np.unique(root, return_inverse=True)[1], np.array([len(x) for x in held])
+        for i in np.flatnonzero(asks).tolist():
+            far = np.bitwise_count(fp ^ fp[i])
+            fits = np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9  # no other can be alike
+            left = np.flatnonzero(~asks & fits & (far <= radius) & (label != label[i]))
+            left = left[np.argsort(far[left], kind="stable")]
+            while len(left):
+                now, left = left[:64], left[64:]
+                words = np.concatenate([held[k] for k in now])
+                at = np.minimum(np.searchsorted(held[i], words), max(0, size[i] - 1))
+                both = np.bincount(np.repeat(np.arange(len(now)), size[now]), held[i][at] == words, len(now))
+                alike = now[both >= similarity * (size[now] + size[i] - both)]
+                for k in alike.tolist():
+                    if label[k] != label[i]:
+                        u.append(text[i])
+                        v.append(text[k])
+                        label[label == label[k]] = label[i]
+                left = left[label[left] != label[i]]
+        return u, v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            kept = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            keys = np.stack([kept.column(c).to_numpy() for c in ("band", "key", "p", "q")], axis=1).astype(np.int64)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                yield emit(kept.slice(0, cuts[-1]), cuts[:-1])
+                kept = kept.slice(cuts[-1])
+        if kept is not None and kept.num_rows:
+            yield emit(kept, np.zeros(0, np.int64))
+
+    def emit(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        u, v, ends = [], [], [0, *cuts.tolist(), rows.num_rows]
+        for a, b in zip(ends, ends[1:]):
+            g = rows.slice(a, b - a)
+            asks, text, fp, root = (g.column(c).to_numpy() for c in ("asks", "text_hash", "fp", "root"))
+            found = edges(asks.astype(bool), text, fp.astype(np.int64).view(np.uint64), root, [np.frombuffer(x, "<u4") for x in g.column("held").to_pylist()])
+            u += found[0]
+            v += found[1]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _links_left(met: DataFrame, large: DataFrame, members: DataFrame, sets: DataFrame, radius: int, similarity: float, part: int) -> DataFrame | None:
+    """Links (u, v) in large buckets (band, key) between texts that ``members`` (text_hash, component) leaves
+    apart; None if it leaves none apart. One of two such texts at least has another root than most of its
+    bucket: these ask, in parts, and meet all of the bucket, in parts."""
+    rows = met.join(large, ["band", "key"], "left_semi").join(members, "text_hash", "left")
+    rows = materialise(rows.select("band", "key", "text_hash", "fp", F.coalesce("component", "text_hash").alias("root")), "copy-large")
+    roots = rows.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "root"))
+    mixed = roots.groupBy("band", "key").agg(most["root"].alias("top"), F.sum("n").alias("n"), (F.sum("n") - most["n"]).alias("n_apart")).filter("n_apart > 0")
+    parts = {"ps": F.ceil(F.col("n_apart") / part).cast("int"), "qs": F.ceil(F.col("n") / part).cast("int")}
+    mixed = materialise(mixed.select("band", "key", "top", *[c.alias(name) for name, c in parts.items()]), "copy-mixed")
+    if mixed.isEmpty():
+        return None
+    rows = rows.join(mixed, ["band", "key"]).join(sets, "text_hash")
+    own = lambda count: F.pmod(F.xxhash64("text_hash"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asking = rows.filter("root <> top").withColumn("p", own("ps")).withColumn("q", every("qs")).withColumn("asks", F.lit(1))
+    asked = rows.withColumn("q", own("qs")).withColumn("p", every("ps")).withColumn("asks", F.lit(0))
+    order = ["band", "key", "p", "q"]
+    dealt = asking.unionByName(asked).select(*order, "asks", "text_hash", "fp", "root", "held")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *order).sortWithinPartitions(*order, "asks", "text_hash").mapInArrow(_across(radius, similarity), "u long, v long")
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE, bucket: int = BUCKET, part: int = PART) -> DataFrame:
     """Per row: doc_id, text_hash and root, the same for all texts that links of ``similarity`` reach. A text
-    meets another with probability 1 - (1 - s^BAND)^BANDS at similarity s: 0.997 at 0.8."""
+    meets another with probability 1 - (1 - s^BAND)^BANDS at similarity s: 0.997 at 0.8. No link between
+    texts that meet within the radius is lost, however large the bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
     prints = materialise(rows.mapInArrow(_copy_rows(shingle), "doc_id long, text_hash long, fp long, bands array<long>"), "copy-fingerprints")
@@ -362,18 +441,25 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float
     sizes = met.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / bucket).cast("int")
     dealt = met.join(sizes, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("text_hash"), parts).cast("int"))
-    # Every part is compared within itself and, where there are several, the first part with each other one.
+    # Every part is compared within itself and, where there are several, the first part with each other one;
+    # what this leaves apart in buckets that are not compared pair by pair is compared below.
     dealt = dealt.withColumn("q", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array("part"))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "key", "q", "text_hash"]
     pairs = dealt.select("band", "key", "q", "part", "text_hash", "fp").repartition(n, "band", "key", "q").sortWithinPartitions(*order).mapInArrow(_nearest(radius), "u long, v long")
     pairs = materialise(pairs.distinct(), "copy-pairs")
-    wanted = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash"))).distinct()
+    large = materialise(sizes.filter(F.col("n") > min(SMALL, bucket)).select("band", "key"), "copy-large-keys")
+    wanted = pairs.select(F.col("u").alias("text_hash")).unionByName(pairs.select(F.col("v").alias("text_hash")))
+    wanted = wanted.unionByName(met.join(large, ["band", "key"], "left_semi").select("text_hash")).distinct()
     texts = rows.select("text_hash", "text").join(wanted, "text_hash", "left_semi").mapInArrow(_shingle_sets(shingle), "text_hash long, held binary")
     sets = materialise(texts.groupBy("text_hash").agg(F.first("held").alias("held")), "copy-sets")
     checked = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    members = connected_components(materialise(checked.mapInArrow(_alike(similarity), "u long, v long"), "copy-links"))
-    members = materialise(members, "copy-classes")  # stored, so that the join can split a text with many rows
+    linked = materialise(checked.mapInArrow(_alike(similarity), "u long, v long"), "copy-links")
+    members = materialise(connected_components(linked), "copy-classes")  # stored, so that the join can split a text with many rows
+    more = _links_left(met, large, members.toDF("text_hash", "component"), sets, radius, similarity, part)
+    if more is not None:
+        linked = linked.unionByName(materialise(more, "copy-links-left"))
+        members = materialise(connected_components(linked), "copy-classes")
     return prints.select("doc_id", "text_hash").join(members.toDF("text_hash", "component"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("root"))
 
 
