@@ -6,19 +6,32 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 #: Whitespace other than spaces and newlines.
 _ODD = re.compile(r"[^\S \n]").search
 _NEWLINE = "\n"
 #: Units that a worker keeps, about 230 bytes each.
-CACHED_UNITS = 1_200_000
-#: A word that is one run of letters for the pre-tokenizer, in any Unicode version, and such a word
-#: with a run of marks behind it, which is a run of its own. The apostrophe may start a contraction.
-_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-_TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\x22-&(-/:-@\[-`{-~]+)").fullmatch
-_MARKS = re.compile(r"[!\x22-&(-/:-@\[-`{-~]+").fullmatch
+CACHED_UNITS = 600_000
+#: One run for the pre-tokenizer, in any Unicode version: letters, digits or marks, with a space before
+#: them or not. The apostrophe may start a contraction.
+_RUN = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!\x22-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: white space, a letter or digit, a mark; 0 for the apostrophe and all others."""
+    out = np.zeros(256, np.uint8)
+    for b in range(0x21, 0x7F):
+        out[b] = _WORD if chr(b).isalnum() else _MARK
+    out[[0x20, 0x0A]], out[0x27] = _WHITE, 0
+    return out
+
+
+_WHITE, _WORD, _MARK = 1, 2, 4
+_KINDS = _kinds()
 
 
 def _byte_letters() -> dict[int, int]:
@@ -42,10 +55,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class UnitEncoder:
     """Byte-level BPE ids as little-endian uint32 bytes.
 
-    The pre-tokenizer always cuts before a space that a visible character follows and around a
-    newline between visible characters, so a text's ids are the ids of these units joined. Units
-    repeat far more than texts. At most ``limit`` units stay cached: frequent ones come early, so
-    a full cache keeps what it has until its misses show that the texts have changed.
+    The pre-tokenizer always cuts before a space that a visible character follows, around a newline
+    between visible characters, and between ASCII letters or digits and marks other than the
+    apostrophe, so a text's ids are the ids of these units joined. Units repeat far more than texts,
+    and are looked up once for all texts of a call. At most ``limit`` units stay cached: frequent ones
+    come early, so a full cache keeps what it has until its misses show that the texts have changed.
     """
 
     def __init__(self, path: str, limit: int = CACHED_UNITS):
@@ -59,20 +73,21 @@ class UnitEncoder:
         plain = not parts["normalizer"] and not parts["post_processor"]
         before = parts["pre_tokenizer"] or {}
         by_units = plain and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.added = [t["content"] for t in parts["added_tokens"] or []]
         newline = self._ids(_NEWLINE)
         self.newline = int(newline[0]) if by_units and len(newline) == 1 else None
-        self.fixed = {_NEWLINE: newline.tobytes()}
-        self.cache: dict[str, bytes] = dict(self.fixed)
+        self.fixed = {_NEWLINE.encode(): newline.tobytes()}
+        self.cache: dict[bytes, bytes] = dict(self.fixed)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of new units: words straight through the model, which sees its byte letters; the
-        rest from one text with a unit a line, where newline ids mark the cuts."""
-        words = [u for u in units if _WORD(u) or _MARKS(u)]
-        plain = [u for u in words if u.isascii()]  # of their bytes only the space has another letter
-        other = [u for u in words if not u.isascii()]
+        """Ids of new units: runs straight through the model, which sees its byte letters; the rest
+        from one text with a unit a line, where newline ids mark the cuts."""
+        runs = [u for u in units if _RUN(u)]
+        plain = [u for u in runs if u.isascii()]  # of their bytes only the space has another letter
+        other = [u for u in runs if not u.isascii()]
         letters = _NEWLINE.join(plain).replace(" ", _LETTERS[0x20]).split(_NEWLINE)
         letters += _NEWLINE.join(other).encode().decode("latin-1").translate(_LETTERS).split(_NEWLINE)
         model = self.tokenizer.model.tokenize
@@ -87,37 +102,68 @@ class UnitEncoder:
         data = ids.tobytes()
         return out | {unit: data[a:b] for unit, a, b in zip(units, [0, *(c + 4 for c in cuts)], cuts)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split = self.cache, []
-        for text in texts:
-            whole = self.newline is None or "\x00" in text
-            units = None if whole else text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-            # White space at an end or next to other leaves a bare space or nothing: encoded whole.
-            split.append(None if whole or "" in units or " " in units else units)
-        need = set().union(*filter(None, split)).difference(cache)
-        if _ODD(_NEWLINE.join(need)):  # never cached, so found again wherever it occurs
-            odd = {u for u in need if _ODD(u)}
-            need -= odd
-            split = [None if u is None or not odd.isdisjoint(u) else u for u in split]
-        # Marks after a word are a run of their own: the bare word and the marks are learned.
-        tails = [m.groups() for m in map(_TAILED, need) if m]
-        need.difference_update(word + marks for word, marks in tails)
-        need.update({part for tail in tails for part in tail}.difference(cache))
-        new = self._learn(list(need)) if need else {}
-        cache.update(new)
-        for word, marks in tails:
-            new[word + marks] = cache[word + marks] = cache[word] + cache[marks]
-        get = cache.__getitem__
-        out = [self._ids(t).tobytes() if u is None else b"".join(map(get, u)) for t, u in zip(texts, split)]
-        if len(cache) > self.limit:
+    def _look_up(self, units: list[bytes]) -> list[bytes | None]:
+        """Ids of distinct units; none for those with odd white space, which are never cached, so found
+        again wherever they occur."""
+        out = list(map(self.cache.get, units))
+        at = [i for i, ids in enumerate(out) if ids is None]
+        need = [units[i].decode() for i in at]
+        odd = {u for u in need if _ODD(u)} if _ODD(_NEWLINE.join(need)) else set()
+        have = self._learn([u for u in need if u not in odd])
+        for i, unit in zip(at, need):
+            out[i] = have.get(unit)
+        new = {units[i]: out[i] for i in at if out[i] is not None}
+        if len(self.cache) + len(new) <= self.limit:
+            self.cache.update(new)
+        else:
+            self.cache.update(islice(new.items(), max(0, self.limit - len(self.cache))))
             self.missed += len(new)
             if self.missed > 8 * self.limit:
                 self.cache, self.missed = dict(self.fixed), 0
-            else:
-                for unit in new:
-                    del cache[unit]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.newline is None:
+            return [self._ids(t).tobytes() for t in texts]
+        # Newlines part the texts, so white space at an end, too, has other white space next to it.
+        data = "\n".join(["", *texts, ""]).encode()
+        size = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], np.int64)
+        edge = np.append(0, np.cumsum(size + 1))
+        kind = _KINDS[np.frombuffer(data, np.uint8)]
+        before, here = kind[:-1], kind[1:]
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(edge, np.flatnonzero(before & here & _WHITE), "right") - 1] = True
+        for token in self.added:
+            whole |= np.fromiter((token in t for t in texts), bool, len(texts))
+        if whole.any():
+            rest = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
+            return [self._ids(t).tobytes() if w else next(rest) for t, w in zip(texts, whole)]
+        start = np.ones(len(kind), bool)
+        # White space starts a unit, as does what follows a newline; letters and marks part.
+        start[1:] = (here == _WHITE) | (before | here == _WORD | _MARK)
+        start[1:] |= np.frombuffer(data, np.uint8)[:-1] == 0x0A
+        first = np.flatnonzero(start).astype(np.int32)
+        offsets = pa.py_buffer(np.append(first, np.int32(len(data))))
+        units = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        row = units.indices.to_numpy()
+        parting = np.searchsorted(first, edge)
+        _, offsets, distinct = units.dictionary.buffers()
+        ends, distinct = np.frombuffer(offsets, np.int32, len(units.dictionary) + 1).tolist(), distinct.to_pybytes()
+        found = self._look_up([distinct[a:b] for a, b in zip(ends, ends[1:])])
+        if None in found:
+            unknown = np.array([ids is None for ids in found])
+            whole[np.searchsorted(parting, np.flatnonzero(unknown[row]), "right") - 1] = True
+            found = [ids or b"" for ids in found]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin = np.cumsum(length, dtype=np.int32) - length
+        n = length[row]
+        n[parting] = 0
+        end = np.cumsum(n, dtype=np.int64)
+        at = np.arange(end[-1]) + np.repeat(begin[row] - (end - n), n)
+        out, cut = ids[at].tobytes(), (4 * end[parting]).tolist()
+        return [self._ids(t).tobytes() if w else out[a:b] for t, w, a, b in zip(texts, whole.tolist(), cut, cut[1:])]
+
 
 _encoders: dict[str, UnitEncoder] = {}
 

@@ -165,6 +165,25 @@ def test_odd_texts_encode_like_the_library():
         assert encoder.encode(texts) == want
 
 
+def test_words_and_marks_are_learned_once():
+    encoder = tokens.UnitEncoder(tokens.vocabulary_path())
+    words, marks = [f" w{chr(97 + i)}" for i in range(26)], [",", ".", "...", "!?", ")", ";"]
+    texts = ["start" + "".join(word + mark for word in words) for mark in marks]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    assert len(encoder.cache) <= len(words) + len(marks) + 2  # not a unit for each word and mark
+
+
+def test_mixed_texts_encode_like_the_library():
+    rng, encoder = random.Random(11), tokens.UnitEncoder(tokens.vocabulary_path(), limit=300)
+    parts = ["a", "zZ", "07", " ", " b", "\n", "'", "'s", "'re", ".", ",(", "-", "/", "_", "<|", "|>", "endoftext", "<|endoftext|>", "é", "ß,", "漢", "😀", "²", "½", "٣", "…", "\u0301", "\u00a0", "\t", "\x1c", "\x00", "\x7f"]
+    for _ in range(60):
+        some = rng.sample(parts, rng.randint(2, len(parts)))
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(200)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == want
+
+
 def test_toxicity_held_out(spark):
     from pyspark.sql import functions as F
 
